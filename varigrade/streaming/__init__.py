@@ -1,0 +1,5 @@
+"""No streaming jobs are needed here: all inputs are bounded tables.
+
+The row-wise functions and filters (``varigrade.functions``, ``filter_phenotyped``,
+``to_hgvs_variant``, ...) hold no state, so they take a streaming DataFrame unchanged.
+"""
