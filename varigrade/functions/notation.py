@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varigrade.functions.keys import strip
@@ -59,109 +57,85 @@ def aa_change(change: Column) -> Column:
     )
 
 
-@dataclass(frozen=True)
-class Rule:
-    """One notation rule: its shape, and where each feature comes from.
-
-    ``start``/``end``/``ref``/``alt``/``inserted`` are group numbers in ``shape``; ``ref`` and ``alt`` may
-    also be literal text. A length is ``'span'`` (from start to end), ``'inserted'`` (length of that
-    group, divided by ``unit``) or a fixed number.
-    """
-
-    shape: str
-    mut_type: str
-    start: int | None = None
-    end: int | None = None
-    del_len: int | str | None = 0
-    ins_len: int | str | None = 0
-    ref: int | str | None = None
-    alt: int | str | None = None
-    inserted: int | None = None
-    unit: int = 1
-
-
-# The notation grammar in order of precedence.
+# The notation grammar. A name is a site (residues and numbers of a protein change, or the
+# numbers of a nucleotide change) followed by a tail; the tail says what happened there.
 _AA = "[A-Z][a-z]{2}"
-_RESIDUE = rf"({_AA})(\d+)"
-_RESIDUES = rf"({_AA})(\d+)_{_AA}(\d+)"
-_SITE = r"[cn]\.(-?\d+)"
-_SITES = r"[cn]\.(-?\d+)_(-?\d+)"
-PROTEIN_RULES = (
-    Rule(rf"p\.Ter(\d+)({_AA})?ext\*\?", "extension", start=1, ref="*", alt=2),
-    Rule(r"p\.Ter(\d+)delins\?+", "delins", start=1, del_len=1, ref="*"),
-    Rule(rf"p\.{_RESIDUE}fs", "frameshift", start=2, ref=1),
-    Rule(rf"p\.{_RESIDUE}\*", "nonsense", start=2, ref=1, alt="*"),
-    Rule(rf"p\.{_AA}{_AA}(\d+)\*", "nonsense", start=1, alt="*"),
-    Rule(rf"p\.{_RESIDUE}\?", "uncertain", start=2, ref=1),
-    Rule(rf"p\.{_RESIDUE}del", "del", start=2, del_len=1, ref=1),
-    Rule(rf"p\.{_RESIDUES}del", "del", start=2, end=3, del_len="span", ref=1),
-    Rule(rf"p\.{_RESIDUES}dup", "dup", start=2, end=3, ins_len="span", ref=1),
-    Rule(rf"p\.{_RESIDUES}ins((?:{_AA})+)", "ins", start=2, end=3, ins_len="inserted", ref=1, inserted=4, unit=3),
-    Rule(rf"p\.{_RESIDUES}delins((?:{_AA})+)", "delins", start=2, end=3, del_len="span", ins_len="inserted",
-         ref=1, inserted=4, unit=3),
-    Rule(rf"p\.{_RESIDUE}({_AA})", "missense", start=2, ref=1, alt=3),
-    Rule(rf"p\.{_RESIDUE}dup", "dup", start=2, ins_len=1, ref=1),
+SITE = rf"^(?:p\.({_AA})({_AA})?(\d+)(?:_{_AA}(\d+))?|[cn]\.(-?\d+)(?:_(-?\d+))?)(.*)$"
+SITE_PARTS = "$1|$2|$3$5|$4$6|$7"
+# Tails by kind of site: on one residue, on a residue range, on the stop codon, on one base, on a base range.
+RESIDUE_TAILS = (
+    ("fs", "frameshift"), (r"\*", "nonsense"), (r"\?", "uncertain"), ("del", "del"), (_AA, "missense"), ("dup", "dup"),
+)
+RESIDUE_RANGE_TAILS = (
+    ("del", "del"), ("dup", "dup"), (f"ins(?:{_AA})+", "ins"), (f"delins(?:{_AA})+", "delins"),
 )
-NUCLEOTIDE_RULES = (
-    Rule(rf"{_SITE}([ACGT])>([ACGT])", "SNV", start=1, ref=2, alt=3),
-    Rule(rf"{_SITE}del[ACGT]*", "del", start=1, del_len=1),
-    Rule(rf"{_SITES}del[ACGT]*", "del", start=1, end=2, del_len="span"),
-    Rule(rf"{_SITES}ins([ACGT]+)", "ins", start=1, ins_len="inserted", inserted=3),
-    Rule(rf"{_SITE}del[ACGT]*ins([ACGT]+)", "delins", start=1, del_len=1, ins_len="inserted", inserted=2),
-    Rule(rf"{_SITES}del[ACGT]*ins[ACGT]+", "delins", start=1, end=2, del_len="span"),
-    Rule(rf"{_SITE}dup[ACGT]*", "dup", start=1, ins_len=1),
-    Rule(rf"{_SITES}dup[ACGT]*", "dup", start=1, end=2, ins_len="span"),
+STOP_TAILS = ((rf"(?:{_AA})?ext\*\?", "extension"), (r"delins\?+", "delins"))
+BASE_TAILS = (
+    ("[ACGT]>[ACGT]", "SNV"), ("del[ACGT]*", "del"), ("del[ACGT]*ins[ACGT]+", "delins"), ("dup[ACGT]*", "dup"),
+)
+BASE_RANGE_TAILS = (
+    ("del[ACGT]*", "del"), ("ins[ACGT]+", "ins"), ("del[ACGT]*ins[ACGT]+", "delins"), ("dup[ACGT]*", "dup"),
 )
 FREE_TEXT_TYPES = (("lof", "LoF"), ("loss of function", "LoF"), ("deletion", "del"))
 
 FEATURES = ("mut_type", "mutation_position", "del_len", "ins_len", "ref", "alt")
 
 
-def _features(mut_type, position=None, del_len=None, ins_len=None, ref=None, alt=None) -> Column:
-    typed = zip(FEATURES, (mut_type, position, del_len, ins_len, ref, alt),
-                ("string", "int", "int", "int", "string", "string"))
-    return F.struct(*[(value if isinstance(value, Column) else F.lit(value)).cast(kind).alias(name)
-                      for name, value, kind in typed])
-
-
-def _rule_features(text: Column, rule: Rule) -> Column:
-    shape = f"^{rule.shape}$"
-
-    def group(number: int) -> Column:
-        return F.regexp_extract(text, shape, number)
+def _tail_type(tail: Column, tails: tuple[tuple[str, str], ...]) -> Column:
+    arms = F
+    for shape, kind in tails:
+        arms = arms.when(tail.rlike(f"^{shape}$"), kind)
+    return arms.otherwise(None)
 
-    def letter(source: int | str | None):
-        if not isinstance(source, int):
-            return source
-        return aa_three_to_one(F.nullif(group(source), F.lit("")))
 
-    start = group(rule.start).try_cast("int")
+def _free_text_type(text: Column) -> Column:
+    arms = F
+    for phrase, kind in FREE_TEXT_TYPES:
+        arms = arms.when(F.lower(text).contains(phrase), kind)
+    return arms.when(text.isNotNull(), "unknown")
 
-    def length(source):
-        if source == "span":
-            return F.abs(group(rule.end).try_cast("int") - start) + 1
-        if source == "inserted":
-            return F.length(group(rule.inserted)) / rule.unit
-        return source
 
-    found = _features(rule.mut_type, start, length(rule.del_len), length(rule.ins_len),
-                      letter(rule.ref), letter(rule.alt))
-    return F.when(text.rlike(shape), found)
+def mutation_features(df: DataFrame, column: str) -> DataFrame:
+    """Add ``FEATURES`` of the notation text in ``column``, row by row with no shuffle; a null text gives nulls.
 
-
-def mutation_features(mutation: Column) -> Column:
-    """Struct of ``FEATURES`` for one notation text; the first matching rule wins, null text gives null.
-
-    The prefix decides which rule family is tried, so a text meets at most 13 patterns.
+    One pattern takes the text apart into residue, second residue, start, end and tail; the tail then meets
+    only the few shapes that fit its kind of site. Deletion and insertion lengths are 0 where not involved; a
+    delins over a base range has no insertion length.
     """
-    text = strip(mutation)
-    lowered = F.lower(text)
-    free_text = [F.when(lowered.contains(phrase), _features(kind)) for phrase, kind in FREE_TEXT_TYPES]
-    other = [*free_text, _features("unknown")]
-    return (
-        F.when(text.isNull(), F.lit(None))
-        .when(text.startswith("p."), F.coalesce(*[_rule_features(text, r) for r in PROTEIN_RULES], *other))
-        .when(text.startswith("c.") | text.startswith("n."),
-              F.coalesce(*[_rule_features(text, r) for r in NUCLEOTIDE_RULES], *other))
-        .otherwise(F.coalesce(*other))
-    )
+    text = F.col("_text")
+    parts = F.split(F.when(text.rlike(SITE), F.regexp_replace(text, SITE, SITE_PARTS)), r"\|", 5)
+    names = ("_residue", "_second", "_start", "_end", "_tail")
+    sited = df.withColumn("_text", strip(F.col(column))).withColumn("_part", parts).select(
+        "*", *[F.get("_part", F.lit(i)).alias(name) for i, name in enumerate(names)])
+
+    residue, tail = F.col("_residue"), F.col("_tail")
+    ranged = F.col("_end") != ""
+    protein = F.when(F.col("_second") != "", F.when(~ranged & (tail == "*"), "nonsense")).otherwise(F.coalesce(
+        F.when(~ranged & (residue == "Ter"), _tail_type(tail, STOP_TAILS)),
+        F.when(ranged, _tail_type(tail, RESIDUE_RANGE_TAILS)).otherwise(_tail_type(tail, RESIDUE_TAILS))))
+    nucleotide = F.when(ranged, _tail_type(tail, BASE_RANGE_TAILS)).otherwise(_tail_type(tail, BASE_TAILS))
+    typed = sited.withColumns({
+        "_kind": F.when(residue != "", protein).when(residue == "", nucleotide),
+        "_from": F.col("_start").try_cast("int"),
+        "_span": F.when(ranged, F.abs(F.col("_end").try_cast("int") - F.col("_start").try_cast("int")) + 1).otherwise(1),
+    })
+
+    kind, is_protein = F.col("_kind"), residue != ""
+    inserted = F.length(F.regexp_extract(tail, "ins(.*)$", 1))
+    del_len = F.when(tail.startswith("del"), F.col("_span")).otherwise(0)
+    ins_len = (
+        F.when(kind == "dup", F.col("_span"))
+        .when(is_protein & ranged & kind.isin("ins", "delins"), (inserted / 3).cast("int"))
+        .when((kind == "ins") | ((kind == "delins") & ~is_protein & ~ranged), inserted)
+        .otherwise(0))
+    ref = F.when(is_protein & (F.col("_second") == ""), aa_three_to_one(residue)).when(
+        kind == "SNV", F.substring(tail, 1, 1))
+    alt = (
+        F.when(kind == "nonsense", "*").when(kind == "missense", aa_three_to_one(tail))
+        .when(kind == "SNV", F.substring(tail, 3, 1))
+        .when((kind == "extension") & (tail != "ext*?"), aa_three_to_one(F.substring(tail, 1, 3))))
+    known = kind.isNotNull()
+    values = (F.coalesce(kind, _free_text_type(text)), F.when(known, F.col("_from")), F.when(known, del_len),
+              F.when(known, ins_len), F.when(known, ref), F.when(known, alt))
+    return typed.select(*[F.col(f"`{c}`") for c in df.columns],
+                        *[value.alias(name) for name, value in zip(FEATURES, values)])

@@ -30,11 +30,9 @@ _SHAPES = (
 
 
 def _notation() -> str:
-    arms = []
-    for number, shape in enumerate(_SHAPES):
-        text = "'" + shape.replace("{a}", f"', {_A}, '").replace("{b}", f"', {_B}, '") + "'"
-        arms.append(f"when {number} then concat({text}, '')")
-    return f"case cast(l_partkey % {len(_SHAPES)} as int) {' '.join(arms)} end"
+    arms = " ".join(f"when {number} then '{shape}'" for number, shape in enumerate(_SHAPES))
+    shape = f"case cast(l_partkey % {len(_SHAPES)} as int) {arms} end"
+    return f"replace(replace({shape}, '{{a}}', concat({_A}, '')), '{{b}}', concat({_B}, ''))"
 
 
 TABLES = {

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varigrade.functions.keys import normalize_key, strip
-from varigrade.functions.notation import FEATURES, mutation_features
+from varigrade.functions.notation import mutation_features
 from varigrade.operators.aggregates import agg_variant_fallback, mic_fallback
 from varigrade.operators.columns import encode_grade, filter_positive, rename_columns
 from varigrade.operators.coordinates import allele_length_bucket, attach_gene_coordinates, mutation_key
@@ -71,11 +71,10 @@ def parse_mutation(df: DataFrame, column: str = "mutation", dictionary: bool = T
     place with no shuffle, which suits tables whose texts hardly repeat.
     """
     if not dictionary:
-        parsed = df.withColumn("_f", mutation_features(F.col(column)))
-        return parsed.select(*df.columns, "_f.*")
+        return mutation_features(df, column)
     texts = df.select(F.col(column).alias("_text")).filter(F.col("_text").isNotNull()).distinct()
-    features = texts.select("_text", mutation_features(F.col("_text")).alias("_f")).select("_text", "_f.*")
-    return df.join(features, F.col(column) == F.col("_text"), "left").drop("_text")
+    features = mutation_features(texts.withColumnRenamed("_text", "_key"), "_key")
+    return df.join(features, F.col(column) == F.col("_key"), "left").drop("_key")
 
 
 def mutation_profile(df: DataFrame, gene: str = "gene", column: str = "mutation") -> DataFrame:
@@ -85,8 +84,7 @@ def mutation_profile(df: DataFrame, gene: str = "gene", column: str = "mutation"
     (gene, text) before they are parsed.
     """
     texts = df.groupBy(gene, column).agg(F.count(F.lit(1)).alias("n"))
-    parsed = texts.select(gene, "n", mutation_features(F.col(column)).alias("_f")).select(gene, "n", "_f.*")
-    placed = parsed.groupBy(gene, "mut_type", "mutation_position").agg(
+    placed = mutation_features(texts, column).groupBy(gene, "mut_type", "mutation_position").agg(
         F.sum("n").alias("n"), F.sum(F.col("del_len") * F.col("n")).alias("_del"),
         F.sum(F.col("ins_len") * F.col("n")).alias("_ins"),
         F.sum(F.when(F.col("del_len").isNotNull(), F.col("n"))).alias("_known"))
@@ -101,7 +99,9 @@ def mutation_profile(df: DataFrame, gene: str = "gene", column: str = "mutation"
 def unparsed_mutations(df: DataFrame, column: str = "mutation", top: int = 20) -> DataFrame:
     """The most frequent texts that no notation rule reads."""
     texts = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    unread = texts.filter(mutation_features(F.col(column))["mut_type"] == "unknown")
+    # counted by a second aggregate: a filter on mut_type would be pushed below the parser and repeat it
+    unread = mutation_features(texts, column).groupBy(column).agg(
+        F.sum(F.when(F.col("mut_type") == "unknown", F.col("n"))).alias("n")).filter("n is not null")
     return unread.orderBy(F.desc("n"), column).limit(top)
 
 
@@ -127,6 +127,3 @@ def clean_features(encoded: DataFrame, min_gene_rows: int = 10) -> DataFrame:
 def positioned_features(clean: DataFrame, loci: DataFrame, compat: bool = False) -> DataFrame:
     """Mutation keys and gene-relative coordinates on the cleaned features."""
     return attach_gene_coordinates(mutation_key(clean, compat=compat), loci)
-
-
-__all__ = ["FEATURES", "CATALOGUE_NAMES", "MODEL_COLUMNS"]
