@@ -35,16 +35,22 @@ def aa_index(letter: Column, default: int = AA_UNKNOWN) -> Column:
     return F.coalesce(_lookup(AA_INDEX, letter), F.lit(default))
 
 
-def hgvs_variant(gene: Column, mutation: Column, stop: str = "Ter") -> Column:
-    """``gene_p.Ref3PosAlt3`` from a one-letter substitution such as ``S450L``; null when it is not one.
+# A one-letter substitution such as S450L.
+SUBSTITUTION = r"^[ARNDCQEGHILKMFPSTWYV*]\d+[ARNDCQEGHILKMFPSTWYV*]$"
 
-    ``stop`` is the text written for a stop codon (``Ter`` or ``*``).
-    """
+
+def is_substitution(mutation: Column) -> Column:
+    """True where the text is a one-letter substitution, whatever its case and padding."""
+    return F.upper(strip(mutation)).rlike(SUBSTITUTION)
+
+
+def hgvs_variant(gene: Column, mutation: Column, stop: str = "Ter") -> Column:
+    """``gene_p.Ref3PosAlt3`` of a row that ``is_substitution``; ``stop`` is the text for a stop codon (``Ter`` or ``*``)."""
     three = {one: three for three, one in AA_THREE_TO_ONE.items() if one != "*"} | {"*": stop}
     text = F.upper(strip(mutation))
-    shape = r"^([A-Z*])(\d+)([A-Z*])$"
-    ref, number, alt = (F.regexp_extract(text, shape, group) for group in (1, 2, 3))
-    return F.concat(strip(gene), F.lit("_p."), _lookup(three, ref), number, _lookup(three, alt))
+    number = F.substr(text, F.lit(2), F.length(text) - 2)
+    return F.concat(strip(gene), F.lit("_p."), _lookup(three, F.left(text, F.lit(1))), number,
+                    _lookup(three, F.right(text, F.lit(1))))
 
 
 def aa_change(change: Column) -> Column:

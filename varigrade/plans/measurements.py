@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varigrade.functions.keys import normalize_key, strip
-from varigrade.functions.notation import aa_change, hgvs_variant
+from varigrade.functions.notation import aa_change, hgvs_variant, is_substitution
 from varigrade.operators.aggregates import agg_variant_mic
 from varigrade.operators.columns import filter_phenotyped
 from varigrade.operators.joins import join_drug_dim, join_isolate_phenotype
@@ -22,8 +22,12 @@ def measured_mutations(mutations: DataFrame, phenotypes: DataFrame, drug_codes:
 
 
 def to_hgvs_variant(df: DataFrame, stop: str = "Ter") -> DataFrame:
-    """Add the catalogue's variant name; rows whose mutation is no plain substitution are dropped."""
-    return df.withColumn("variant", hgvs_variant(F.col("gene"), F.col("mutation"), stop)).filter("variant is not null")
+    """Add the catalogue's variant name; rows whose mutation is no plain substitution are dropped.
+
+    The filter is one pattern on its own, so it stays cheap where Spark pushes it below an aggregate.
+    """
+    named = df.filter(is_substitution(F.col("mutation")) & F.col("gene").isNotNull())
+    return named.withColumn("variant", hgvs_variant(F.col("gene"), F.col("mutation"), stop))
 
 
 def hgvs_coverage(df: DataFrame) -> DataFrame:
@@ -32,8 +36,8 @@ def hgvs_coverage(df: DataFrame) -> DataFrame:
     Rows collapse to distinct (gene, mutation) texts before the conversion.
     """
     texts = df.groupBy("gene", "mutation").agg(F.count(F.lit(1)).alias("n"))
-    converted = hgvs_variant(F.col("gene"), F.col("mutation")).isNotNull()
-    return texts.withColumn("_ok", F.when(converted, F.col("n")).otherwise(F.lit(0))).groupBy("gene").agg(
+    converts = is_substitution(F.col("mutation")) & F.col("gene").isNotNull()
+    return texts.withColumn("_ok", F.when(converts, F.col("n")).otherwise(F.lit(0))).groupBy("gene").agg(
         F.sum("n").alias("n_rows"), F.sum("_ok").alias("n_converted"),
         (F.sum("n") - F.sum("_ok")).alias("n_dropped"))
 

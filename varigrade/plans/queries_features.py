@@ -7,7 +7,7 @@ from pyspark.ml.functions import vector_to_array
 
 from varigrade.functions.notation import FEATURES, mutation_features
 from varigrade.operators import columns, coordinates, encoding, folds
-from varigrade.plans import modelling
+from varigrade.plans import evaluation, modelling
 from varigrade.plans.registry import STAGES, query
 
 # The notation grammar once more, as SQL: number of the first matching rule, then features by number.
@@ -204,7 +204,7 @@ def gene_coordinates(t):
 
 @query("SELECT * FROM clean_rows")
 def clean_features(t):
-    return modelling.clean_features(modelling.encode_model_table(t.model)[0])
+    return evaluation.feature_tables(t.model, t["loci"])[0]
 
 
 @query("""SELECT c.*, CASE WHEN c.position IS NOT NULL THEN
@@ -215,8 +215,7 @@ def clean_features(t):
     FROM clean_rows c LEFT JOIN (SELECT * FROM loci WHERE name IN (SELECT gene FROM clean_rows)) l
     ON lower(c.gene) = lower(l.name)""")
 def positioned_features(t):
-    clean = modelling.clean_features(modelling.encode_model_table(t.model)[0])
-    return modelling.positioned_features(clean, t["loci"])
+    return evaluation.feature_tables(t.model, t["loci"])[1]
 
 
 # splits

@@ -10,7 +10,7 @@ from varigrade.operators import folds, metrics, statistics
 from varigrade.plans.registry import STAGES, Tables, query
 from varigrade.sources import sinks
 
-_ELEMENTS = [f"e{i}" for i in range(16)]
+_ELEMENTS = [f"e{i}" for i in range(64)]
 
 STAGES["labels_seen"] = """
     SELECT l.fold, l.label, count(*) FILTER (g.actual = l.label) AS support,
@@ -30,7 +30,7 @@ STAGES["model_recalls"] = """
 STAGES["model_folds"] = """
     SELECT model, fold, sum(hits) / sum(n) AS accuracy, avg(recall) AS balanced FROM model_recalls GROUP BY model, fold"""
 STAGES["long_elements"] = """
-    SELECT vec_id, unnest(range(16)) AS i, CAST(unnest(embedding[1:16]) AS DOUBLE) AS x FROM embeddings"""
+    SELECT vec_id, unnest(range(64)) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings"""
 STAGES["element_pairs"] = """
     SELECT concat('e', p.i) AS a, concat('e', q.i) AS b, abs(corr(p.x, q.x)) AS r
     FROM long_elements p JOIN long_elements q ON p.vec_id = q.vec_id AND p.i <> q.i GROUP BY p.i, q.i"""
@@ -183,7 +183,7 @@ def corr_submatrix(t):
     upto >= 0.95 AND upto - ratio < 0.95 AS reached
     FROM (SELECT *, sum(ratio) OVER (ORDER BY component) AS upto FROM ratios)""")
 def cumulative_variance(t):
-    long = t["embeddings"].select(F.posexplode(F.slice("embedding", 1, 16)).alias("component", "x"))
+    long = t["embeddings"].select(F.posexplode("embedding").alias("component", "x"))
     spread = long.groupBy("component").agg(F.var_pop(F.col("x").cast("double")).alias("v"))
     total = spread.agg(F.sum("v")).scalar()
     summed = statistics.cumulative_variance(spread.select("component", (F.col("v") / total).alias("ratio")))

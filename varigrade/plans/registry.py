@@ -5,12 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from functools import cached_property
-from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
 from varigrade.plans import fixtures, measurements, modelling
-from varigrade.session import ensure_checkpoint_dir
+from varigrade.session import materialize, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,9 +26,7 @@ class Tables:
         return fixtures.table(self.spark, self.sf_dir, name)
 
     def scratch(self, name: str) -> str:
-        """A new path in the shared checkpoint folder."""
-        ensure_checkpoint_dir(self.spark)
-        return f"{self.spark.sparkContext.getCheckpointDir()}/{name}-{uuid4().hex}"
+        return scratch_path(self.spark, name)
 
     @cached_property
     def measured(self) -> DataFrame:
@@ -41,7 +38,8 @@ class Tables:
 
     @cached_property
     def mic(self) -> DataFrame:
-        return measurements.with_join_keys(self.summary)
+        """The summary as a written stage, since several joins and aggregates read it."""
+        return measurements.with_join_keys(materialize(self.summary))
 
     @cached_property
     def cleaned(self) -> DataFrame:
