@@ -44,7 +44,7 @@ def grouped_rows(positioned: DataFrame, drop=models.BASELINE_DROP, folds: int =
     split = group_kfold(binned, "mutation_key", folds, missing=UNKNOWN_MUTATION)
     vectors = models.columns_to_vector(split, (*drop, "fold"))
     return materialize(vectors.select("features", "fold", "mutation_key", "ppv", "ppv_bin", "has_exact_mic",
-                                      "has_variant_mic"))
+                                      "has_variant_mic"), spread=True)
 
 
 def boosting_rows(positioned: DataFrame, folds: int = 5) -> DataFrame:
@@ -57,7 +57,8 @@ def boosting_rows(positioned: DataFrame, folds: int = 5) -> DataFrame:
 def holdout_rows(clean: DataFrame) -> DataFrame:
     """Feature vectors for tasks on the grade, with infinite and missing numbers set to -1."""
     vectors = models.columns_to_vector(sanitize_numeric(clean), models.BASELINE_DROP, missing=-1.0)
-    return materialize(vectors.select("features", "gene", "drug", "resistant", "ppv", "has_exact_mic", "has_variant_mic"))
+    return materialize(vectors.select("features", "gene", "drug", "resistant", "ppv", "has_exact_mic",
+                                      "has_variant_mic"), spread=True)
 
 
 def eda_matrix(positioned: DataFrame, target: str = "resistant") -> DataFrame:
@@ -89,7 +90,7 @@ def encoded_measurements(mutations: DataFrame, phenotypes: DataFrame, drug_codes
 
 def fit_measurements(ids: DataFrame, iterations: int = 100, factors: int = 16) -> tuple[PipelineModel, DataFrame]:
     """(model, scores): embedding regression on 80 % of the isolates, errors on the others, on the z-scored value."""
-    rows = materialize(ids.withColumn("target", F.col("log2mic").cast("double")))
+    rows = materialize(ids.withColumn("target", F.col("log2mic").cast("double")), spread=True)
     train, validation = zscore_target(*random_split(rows, "uniqueid"), "target")
     model = models.mic_embedding_regress(CATEGORY_IDS, factors=factors, iterations=iterations).fit(train)
     scored = model.transform(train).withColumn("part", F.lit("train")).unionByName(

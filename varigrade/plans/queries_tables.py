@@ -332,12 +332,12 @@ def order_summary(t):
         WHERE log2mic IS NOT NULL),
     carriers AS (SELECT DISTINCT uniqueid AS sample, concat(gene, '_', trim(mutation)) AS mutation FROM mutations),
     totals AS (SELECT drug, count(*) FILTER (resistant) AS r, count(*) FILTER (NOT resistant) AS s FROM samples GROUP BY drug),
-    cells AS (SELECT mutation, drug, count(*) FILTER (resistant) AS a, count(*) FILTER (NOT resistant) AS b
+    pairs AS (SELECT mutation, drug, count(*) FILTER (resistant) AS a, count(*) FILTER (NOT resistant) AS b
         FROM carriers JOIN samples USING (sample) GROUP BY mutation, drug)
     SELECT mutation, drug, a, b, r - a AS c, s - b AS d, a / nullif(a + r - a, 0) AS sensitivity,
         (s - b) / nullif(s, 0) AS specificity, a / nullif(a + b, 0) AS ppv,
         (a / nullif(b, 0)) / nullif((r - a) / nullif(s - b, 0), 0) AS odds_ratio
-    FROM cells JOIN totals USING (drug)""")
+    FROM pairs JOIN totals USING (drug)""")
 def contingency_metrics(t):
     tested = t["phenotypes"].filter("log2mic is not null").select(
         F.col("uniqueid").alias("sample"), "drug", (F.col("log2mic") > 2).alias("resistant")).distinct()

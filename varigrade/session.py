@@ -41,12 +41,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
+def materialize(df: DataFrame, spread: bool = False) -> DataFrame:
     """Write ``df`` once as a Parquet table in the shared checkpoint folder and read it back.
 
     Later uses agree with each other, survive lost executors, read only the columns they need, and let Spark plan
-    with the table's real size.
+    with the table's real size. ``spread`` deals the rows evenly over ``spark.sql.shuffle.partitions`` files, for
+    tables that are then read many times (model fits).
     """
-    path = scratch_path(df.sparkSession, name)
+    path = scratch_path(df.sparkSession, "stage")
+    if spread:
+        df = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
