@@ -7,8 +7,10 @@ full size; smaller ones are an argument.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -144,7 +146,7 @@ def boost_classify(name: str = "boosted_trees", iterations: int = 100, depth: in
                    seed: int = 42) -> Learner:
     """One binary booster per class."""
     return Learner(name, lambda train: OneVsRest(
-        classifier=GBTClassifier(maxIter=iterations, maxDepth=depth, stepSize=step, seed=seed), weightCol="weight"))
+        classifier=GBTClassifier(maxIter=iterations, maxDepth=depth, stepSize=step, seed=seed), weightCol="weight", parallelism=4))
 
 
 def boosters(iterations: int = 100) -> list[Learner]:
@@ -176,19 +178,24 @@ def prediction_log(predicted: DataFrame, fold: int, group: str = "mutation_key",
 
 
 def grouped_cv(df: DataFrame, learners: Sequence[Learner], target: str, folds: int = 5,
-               whole: bool = True) -> DataFrame:
+               whole: bool = True, parallelism: int = 5) -> DataFrame:
     """Prediction log of every learner over all folds: fit on the others, predict the fold.
 
-    ``df`` carries ``features`` and ``fold``; materialise it first, each fit reads it again.
+    ``df`` carries ``features`` and ``fold``; materialise it first, each fit reads it again. Up to ``parallelism``
+    fits run at once, so the many short jobs of one fit fill the gaps of another.
     """
     rows = labelled(df, target)
-    logs = []
-    for learner in learners:
-        for fold in range(folds):
-            model = learner.fit(rows.filter(F.col("fold") != fold))
-            log = prediction_log(predict(model, rows.filter(F.col("fold") == fold)), fold, whole=whole)
-            logs.append(log.withColumn("model", F.lit(learner.name)))
-    return union_folds(logs)
+
+    def score(task: tuple[Learner, int]) -> DataFrame:
+        learner, fold = task
+        model = learner.fit(rows.filter(F.col("fold") != fold))
+        log = prediction_log(predict(model, rows.filter(F.col("fold") == fold)), fold, whole=whole)
+        return log.withColumn("model", F.lit(learner.name))
+
+    tasks = [(learner, fold) for learner in learners for fold in range(folds)]
+    with ThreadPoolExecutor(parallelism) as pool:
+        running = [pool.submit(inheritable_thread_target(df.sparkSession)(score), task) for task in tasks]
+        return union_folds([fit.result() for fit in running])
 
 
 def split_eval(train: DataFrame, test: DataFrame, learner: Learner, target: str, group: str = "gene",
