@@ -39,6 +39,11 @@ def columns_to_vector(t):
     return array.select("p_partkey", *[F.col("v")[i].alias(f"v{i}") for i in range(3)])
 
 
+@query()
+def eda_matrix(t):
+    return evaluation.eda_matrix(_features(t)[1])
+
+
 @query()
 def pca_explained(t):
     return models.pca_explained(_embedded(t))
