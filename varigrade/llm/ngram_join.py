@@ -1,10 +1,10 @@
 """Near-duplicate classes by an n-gram Jaccard join with rare-first prefix filtering.
 
-A document's n-gram set is that of ``shingles``. Documents with equal sets form a class with one representative, so
-copies never meet as pairs. Between representatives the join is exact:
+A document's n-gram set is that of ``shingles``. Documents with equal sets form a class, known by a digest of the set, so copies
+never meet as pairs. Between classes the join is exact:
 
-* n-grams are ordered rare first. Frequencies come from all documents, in a table of ``2**20`` hashed counters whose
-  size doesn't depend on the corpus. The counters only choose the order; any common order gives the same links.
+* n-grams are ordered rare first. Frequencies come from all documents, in a table of ``2**SKETCH_BITS`` hashed counters
+  whose size doesn't depend on the corpus. The counters only choose the order; any common order gives the same links.
 * Two sets that reach the threshold share an n-gram among the first ``n - ceil(t n) + 1`` of each (prefix filter).
 * A shared n-gram makes a candidate only if set sizes (length filter), places in the order (positional filter) and the
   sizes of what follows in four hash ranges (suffix filter) leave room for the needed overlap.
@@ -15,13 +15,19 @@ each opening round a set meets one pivot, the smallest under that round's hash a
 with; a group of n near copies so costs about n verifications, not n squared. The closing round takes every candidate
 pair still between components, whatever their number, so no link is lost.
 
-64-bit hashes stand for n-grams, and a 128-bit digest for a set. Two different n-grams of one pair share a hash with a
-chance of about set size squared / 2^64.
+What is shuffled per n-gram is the n-gram and its class alone; n-grams of one class are dropped there, and places and
+suffix sizes are worked out for the rest. The sets of classes that share a prefix n-gram are written once, bucketed by
+class, so the rounds join them without shuffling them again. Texts outside those classes are left out by a bitmap of fixed size
+before that shuffle; with very many classes it fills up and lets more through, which the join then drops.
+
+64-bit hashes stand for n-grams (their upper 48 bits where sets are compared), a 128-bit digest for a set, and its first half
+for a class. Two different n-grams of one pair are taken as equal with a chance of about set size squared / 2^48.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -31,17 +37,20 @@ from pyspark.sql import functions as F
 from varigrade.llm.common import slices
 from varigrade.llm.components import components
 from varigrade.llm.shingles import mix, shingle_sets
-from varigrade.session import materialize
+from varigrade.session import materialize, scratch_path
 
-SKETCH_BITS = 20
+SKETCH_BITS = 18
+#: Bits of the bitmap of documents whose sets are needed; 512 KB.
+BITMAP_BITS = 22
 ROUNDS = 2
 #: Members verified together against one pivot; bounds what a task holds.
 GROUP = 128
 _SHIFT = np.uint64(64 - SKETCH_BITS)
 _PROFILE = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()),
                       ("bucket", pa.int32()), ("seen", pa.int64())])
-_INDEX = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()),
-                    ("tokens", pa.list_(pa.int64())), ("suffix", pa.list_(pa.int64()))])
+_INDEX = pa.schema([("id", pa.int64()), ("tokens", pa.list_(pa.int64()))])
+_SETS = pa.schema([("doc_id", pa.int64()), ("set_id", pa.int64()), ("n", pa.int64()), ("grams", pa.binary()),
+                   ("tokens", pa.list_(pa.int64())), ("suffix", pa.list_(pa.int64()))])
 
 
 def _ddl(schema: pa.Schema) -> str:
@@ -79,26 +88,21 @@ def _profiles(width: int):
     return run
 
 
+def _prefix(found: np.ndarray, percent: int, level: np.ndarray) -> np.ndarray:
+    """Places of the rarest n-grams of a set's prefix, in the common order."""
+    keep = len(found) - (percent * len(found) + 99) // 100 + 1
+    return np.lexsort((found, level[(found >> _SHIFT).astype(np.int64)]))[:keep]
+
+
 def _prefixes(width: int, percent: int, levels):
-    """Per document the rarest n-grams of its prefix, and for each the sizes of what follows in four hash ranges."""
+    """Per document its class and prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = np.frombuffer(levels.value, np.uint8)
         for batch in slices(batches):
-            rows = []
-            for ident, found in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), width)):
-                n = len(found)
-                if not n:
-                    continue
-                keep = n - (percent * n + 99) // 100 + 1
-                rank = level[(found >> _SHIFT).astype(np.int64)]
-                order = np.lexsort((found, rank))
-                tokens = found[order[:keep]]
-                part = (mix(found) >> np.uint64(62)).astype(np.int64)
-                after = np.bincount(part, minlength=4)[None, :] - np.cumsum(
-                    part[order[:keep], None] == np.arange(4)[None, :], axis=0)
-                packed = np.minimum(after, 0xFFFF) @ np.array([1, 1 << 16, 1 << 32, 1 << 48], np.uint64).astype(np.int64)
-                rows.append((ident, n, *_digest(found), tokens.astype(np.int64), packed))
+            rows = [(_digest(found)[0], found[_prefix(found, percent, level)].astype(np.int64))
+                    for ident, found in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), width))
+                    if len(found) and ident is not None]
             if rows:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, f.type) for c, f in zip(zip(*rows), _INDEX)], schema=_INDEX)
@@ -106,22 +110,53 @@ def _prefixes(width: int, percent: int, levels):
     return run
 
 
-def _sets(width: int):
-    """The whole sorted set of each class from the text of its first document; the digest tells texts of one id apart."""
-    schema = pa.schema([("class_id", pa.int64()), ("grams", pa.binary())])
+def _slot(ids: np.ndarray) -> np.ndarray:
+    return (mix(ids.astype(np.int64).astype(np.uint64)) >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
+
+
+def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(_slot(batch.column(0).to_numpy())))], names=["slot"])
+
+
+def _sets(width: int, percent: int, levels, bitmap):
+    """Set, prefix and suffix sizes of each document in the bitmap: of what follows a prefix n-gram, in four hash ranges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 256):
-            out = [(i, found.tobytes()) for i, d1, d2, found in zip(
-                *(batch.column(k).to_pylist() for k in range(3)), shingle_sets(batch.column(3), width))
-                if _digest(found) == (d1, d2)]
-            if out:
+        level = np.frombuffer(levels.value, np.uint8)
+        wanted = np.unpackbits(np.frombuffer(bitmap.value, np.uint8)).astype(bool)
+        places = np.array([1, 1 << 16, 1 << 32, 1 << 48], np.uint64).astype(np.int64)
+        for batch in slices(batches):
+            batch = batch.filter(batch.column(0).is_valid())
+            if batch.num_rows:
+                batch = batch.filter(pa.array(wanted[_slot(batch.column(0).to_numpy())]))
+            rows = []
+            for ident, found in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), width)):
+                if len(found):
+                    order = _prefix(found, percent, level)
+                    part = (mix(found) >> np.uint64(62)).astype(np.int64)
+                    after = np.bincount(part, minlength=4)[None, :] - np.cumsum(
+                        part[order][:, None] == np.arange(4)[None, :], axis=0)
+                    rows.append((ident, _digest(found)[0], len(found), _narrow(found),
+                                 found[order].astype(np.int64), np.minimum(after, 0xFFFF) @ places))
+            if rows:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+                    [pa.array(c, f.type) for c, f in zip(zip(*rows), _SETS)], schema=_SETS)
 
     return run
 
 
+def _narrow(found: np.ndarray) -> bytes:
+    """The upper 48 bits of each n-gram."""
+    return found.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def _wide(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, 2:] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
+
+
 def _candidate(percent: int):
     """Length, positional and suffix filters between the postings ``a_*`` and ``b_*`` of one n-gram."""
     n, m, i, j = F.col("a_n"), F.col("b_n"), F.col("a_pos"), F.col("b_pos")
@@ -151,10 +186,10 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def check(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         if left.num_rows and right.num_rows:
-            first = np.frombuffer(right.column("pivot_grams")[0].as_py(), np.uint64)
+            first = _wide(right.column("pivot_grams")[0].as_py())
             for a, b, grams in zip(left.column("a").to_pylist(), left.column("b").to_pylist(),
                                    left.column("grams").to_pylist()):
-                other = np.frombuffer(grams, np.uint64)
+                other = _wide(grams)
                 at = np.searchsorted(first, other)
                 at[at == len(first)] = 0
                 both = int((first[at] == other).sum())
@@ -166,6 +201,21 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return members.groupBy("a", "slot").cogroup(pivots.groupBy("pivot", "part")).applyInArrow(check, "u long, v long")
 
 
+def _write_sets(source: DataFrame, active: DataFrame, table: str, width: int, percent: int, levels) -> None:
+    """The sets of active classes as a table bucketed by class, from the text of each class's first document."""
+    spark = source.sparkSession
+    slots = active.select("first_id").mapInArrow(_slots, "slot long").distinct().toArrow()  # at most 2**BITMAP_BITS
+    bits = np.zeros(1 << BITMAP_BITS, bool)
+    bits[slots.column("slot").to_numpy()] = True
+    bitmap = spark.sparkContext.broadcast(np.packbits(bits).tobytes())
+    made = source.mapInArrow(_sets(width, percent, levels, bitmap), _ddl(_SETS))
+    # repeated rows of an id give the same set again; harmless, as links are distinct
+    (made.join(active, (made.set_id == active.id) & (made.doc_id == active.first_id))
+     .select("id", "n", "grams", "tokens", "suffix", "shared")
+     .write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
+     .option("path", scratch_path(spark, "sets")).saveAsTable(table))
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
 
@@ -189,22 +239,24 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
         255, np.rint(6 * np.log2(1.0 + counted.column("seen").to_numpy()))).astype(np.uint8)
     levels = spark.sparkContext.broadcast(level.tobytes())
 
-    classes = materialize(documents.filter("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("first_id"))
-                          .withColumn("id", F.monotonically_increasing_id()))
-    keyed = [F.col("d.n") == F.col("c.n"), F.col("d.d1") == F.col("c.d1"), F.col("d.d2") == F.col("c.d2")]
-    prefixes = source.mapInArrow(_prefixes(width, percent, levels), _ddl(_INDEX))
-    index = materialize(prefixes.alias("d").join(
-        classes.alias("c"), [*keyed, F.col("d.doc_id") == F.col("c.first_id")]).select(
-        "id", "first_id", "d.n", "tokens", "suffix"))
-    repeated = index.select(F.explode("tokens").alias("token")).groupBy("token").count().filter("count > 1")
-    exploded = index.select("id", "n", F.posexplode(F.arrays_zip("tokens", "suffix")).alias("pos", "it")).select(
-        "id", "n", F.col("pos").cast("long").alias("pos"), F.col("it.tokens").alias("token"),
-        F.col("it.suffix").alias("suffix"))
-    postings = materialize(exploded.join(repeated, "token", "left_semi"))
-
-    owners = classes.join(postings.select("id").distinct(), "id").select("id", "d1", "d2", "first_id")
-    sets = materialize(source.join(owners, source.doc_id == owners.first_id).select("id", "d1", "d2", "text")
-                       .mapInArrow(_sets(width), "class_id long, grams binary"))
+    classes = materialize(documents.filter("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(
+        F.min("doc_id").alias("first_id")))
+    index = materialize(source.mapInArrow(_prefixes(width, percent, levels), _ddl(_INDEX))).select(
+        "id", F.explode("tokens").alias("token"))
+    repeated = index.groupBy("token").count().filter("count > 1").select("token")
+    shared = materialize(index.join(repeated, "token", "left_semi"))
+    mixed = shared.groupBy("token").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter(
+        "low <> high").select("token")
+    wanted = shared.join(mixed, "token", "left_semi").groupBy("id").agg(F.collect_set("token").alias("shared"))
+    active = materialize(wanted.join(classes, wanted.id == classes.d1).select("id", "first_id", "shared"))
+    table = f"ngram_sets_{uuid4().hex}"
+    _write_sets(source, active, table, width, percent, levels)
+    kept = spark.table(table)
+    postings = materialize(kept.select("id", "n", F.posexplode(F.arrays_zip("tokens", "suffix")).alias("pos", "it"),
+                                       "shared").filter(F.array_contains("shared", F.col("it.tokens"))).select(
+        F.col("it.tokens").alias("token"), "id", "n", F.col("pos").cast("long").alias("pos"),
+        F.col("it.suffix").alias("suffix")))
+    sets = kept.select(F.col("id").alias("class_id"), "grams")
 
     labels, edges, tested = None, None, None
     for turn in range(rounds + 1):
@@ -238,8 +290,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
         edges = links if edges is None else edges.union(links)
         labels = components(edges)
 
-    joined = classes.join(labels, classes.id == labels.vertex, "left").select(
-        "n", "d1", "d2", "first_id", F.coalesce("label", "id").alias("label"))
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    keyed = [F.col("d.n") == F.col("c.n"), F.col("d.d1") == F.col("c.d1"), F.col("d.d2") == F.col("c.d2")]
+    joined = classes.join(labels, classes.d1 == labels.vertex, "left").select(
+        "n", "d1", "d2", "first_id", F.coalesce("label", "d1").alias("label"))
     smallest = joined.groupBy("label").agg(F.min("first_id").alias("component_id"))
     named = joined.join(smallest, "label").select("n", "d1", "d2", "first_id", "component_id")
     return documents.alias("d").join(named.alias("c"), keyed, "left").select(
