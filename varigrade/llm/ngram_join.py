@@ -26,11 +26,13 @@ for a class. Two different n-grams of one pair are taken as equal with a chance
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +41,9 @@ from varigrade.llm.components import components
 from varigrade.llm.shingles import mix, shingle_sets
 from varigrade.session import materialize, scratch_path
 
-SKETCH_BITS = 18
+SKETCH_BITS = 22
+#: Counters that travel together, and partial sums that are added in one task.
+BLOCK_BITS, FAN_IN = 16, 1024
 #: Bits of the bitmap of documents whose sets are needed; 512 KB.
 BITMAP_BITS = 22
 ROUNDS = 2
@@ -47,7 +51,7 @@ ROUNDS = 2
 GROUP = 128
 _SHIFT = np.uint64(64 - SKETCH_BITS)
 _PROFILE = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()),
-                      ("bucket", pa.int32()), ("seen", pa.int64())])
+                      ("block", pa.int32()), ("salt", pa.int32()), ("counts", pa.binary())])
 _INDEX = pa.schema([("id", pa.int64()), ("tokens", pa.list_(pa.int64()))])
 _SETS = pa.schema([("doc_id", pa.int64()), ("set_id", pa.int64()), ("n", pa.int64()), ("grams", pa.binary()),
                    ("tokens", pa.list_(pa.int64())), ("suffix", pa.list_(pa.int64()))])
@@ -65,29 +69,50 @@ def _digest(found: np.ndarray) -> tuple[int, int]:
 
 
 def _profiles(width: int):
-    """Per document its set size and digest; at the end of a partition, its share of the hashed counters."""
+    """Per document its set size and digest; at the end of a partition, its share of the hashed counters in blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = np.zeros(1 << SKETCH_BITS, np.int64)
+        counters = np.zeros(1 << SKETCH_BITS, np.uint32)
         for batch in slices(batches):
-            rows = []
+            rows, seen = [], []
             for ident, found in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), width)):
-                np.add.at(counters, (found >> _SHIFT).astype(np.int64), 1)
+                seen.append((found >> _SHIFT).astype(np.int64))
                 rows.append((ident, len(found), *_digest(found)))
-            ids, sizes, d1, d2 = zip(*rows)
-            none = [None] * len(rows)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, f.type) for c, f in zip((ids, sizes, d1, d2, none, none), _PROFILE)], schema=_PROFILE)
-        held = np.flatnonzero(counters)
-        for at in range(0, len(held), 65536):
-            part = held[at: at + 65536]
-            none = pa.nulls(len(part), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(part, pa.int32()),
-                                              pa.array(counters[part])], schema=_PROFILE)
+            np.add.at(counters, np.concatenate(seen), np.uint32(1))
+            columns = [*zip(*rows), *([[None] * len(rows)] * 3)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PROFILE)], schema=_PROFILE)
+        part = TaskContext.get().partitionId()
+        for block, counts in enumerate(counters.reshape(-1, 1 << BLOCK_BITS)):
+            if counts.any():
+                row = (None, None, None, None, block, part, _pressed(counts))
+                yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(row, _PROFILE)], schema=_PROFILE)
 
     return run
 
 
+def _pressed(counts: np.ndarray) -> bytes:
+    return zlib.compress(counts.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def _counts(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1).T.copy().view("<u8").ravel()
+
+
+def _levels(parts: DataFrame) -> np.ndarray:
+    """One byte per counter, on a log scale; partial sums are added ``FAN_IN`` at a time."""
+
+    def added(key: tuple, table: pa.Table) -> pa.Table:
+        total = sum(_counts(data) for data in table.column("counts").to_pylist())
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([_pressed(total)], pa.binary())})
+
+    first = parts.groupBy("block", F.expr(f"salt div {FAN_IN}").alias("part")).applyInArrow(
+        added, "block int, counts binary")
+    level = np.zeros((1 << (SKETCH_BITS - BLOCK_BITS), 1 << BLOCK_BITS), np.uint8)
+    for block, counts in first.groupBy("block").applyInArrow(added, "block int, counts binary").toLocalIterator():
+        level[block] = np.minimum(255, np.rint(8 * np.log2(1.0 + _counts(counts))))
+    return level.ravel()
+
+
 def _prefix(found: np.ndarray, percent: int, level: np.ndarray) -> np.ndarray:
     """Places of the rarest n-grams of a set's prefix, in the common order."""
     keep = len(found) - (percent * len(found) + 99) // 100 + 1
@@ -169,6 +194,24 @@ def _candidate(percent: int):
             & (2 * room + (n - i - 1) + (m - j - 1) - gap >= 2 * need))
 
 
+def _between(postings: DataFrame, percent: int) -> DataFrame:
+    """(token, x, y): pairs of components whose members' sizes and places leave room for a link."""
+    held = postings.groupBy("token", "label").agg(
+        F.min("n").alias("low"), F.max("n").alias("high"), F.max("pos").alias("ahead"),
+        F.max(F.col("n") - F.col("pos")).alias("rest"))
+
+    def side(name: str) -> DataFrame:
+        return held.select("token", *[F.col(c).alias(f"{name}_{c}") for c in ("label", "low", "high", "ahead", "rest")])
+
+    need = F.ceil(percent * (F.col("x_low") + F.col("y_low")) / F.lit(100.0 + percent) - F.lit(1e-9))
+    room = F.least("x_ahead", "y_ahead") + F.least("x_rest", "y_rest")
+    left, right = side("x"), side("y").withColumnRenamed("token", "of")
+    return left.join(right, (left.token == right.of) & (F.col("x_label") < F.col("y_label"))
+                     & (100 * F.col("x_high") >= percent * F.col("y_low"))
+                     & (100 * F.col("y_high") >= percent * F.col("x_low")) & (room >= need)
+                     ).select("token", F.col("x_label").alias("x"), F.col("y_label").alias("y"))
+
+
 def _side(postings: DataFrame, name: str) -> DataFrame:
     return postings.select("token", *[F.col(c).alias(f"{name}_{c}") for c in ("id", "n", "pos", "suffix", "label")])
 
@@ -232,11 +275,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     spark = docs.sparkSession
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     profile = materialize(source.mapInArrow(_profiles(width), _ddl(_PROFILE)))
-    documents = profile.filter("bucket is null").select("doc_id", "n", "d1", "d2")
-    counted = profile.filter("bucket is not null").groupBy("bucket").agg(F.sum("seen").alias("seen")).toArrow()
-    level = np.zeros(1 << SKETCH_BITS, np.uint8)  # one byte a counter: 1 MB whatever the corpus
-    level[counted.column("bucket").to_numpy()] = np.minimum(
-        255, np.rint(6 * np.log2(1.0 + counted.column("seen").to_numpy()))).astype(np.uint8)
+    documents = profile.filter("block is null").select("doc_id", "n", "d1", "d2")
+    level = _levels(profile.filter("block is not null").select("block", "salt", "counts"))
     levels = spark.sparkContext.broadcast(level.tobytes())
 
     classes = materialize(documents.filter("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(
@@ -274,11 +314,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
                      .groupBy(F.col("b_id").alias("b")).agg(F.min(F.struct("a_h", "a_id")).alias("p"))
                      .select(F.col("p.a_id").alias("a"), "b"))
         else:
-            # label pairs of each n-gram first, then their members: pairs inside a component are never made
-            held = here.select("token", "label").distinct()
-            between = held.select("token", F.col("label").alias("x")).join(
-                held.select("token", F.col("label").alias("y")), "token").filter("x < y")
-            found = (between.join(_side(here, "a").withColumnRenamed("a_label", "x"), ["token", "x"])
+            # components that share an n-gram meet first, by what their members allow at best; then the members of
+            # those that could hold a link. Pairs inside a component are never made.
+            found = (_between(here, percent)
+                     .join(_side(here, "a").withColumnRenamed("a_label", "x"), ["token", "x"])
                      .join(_side(here, "b").withColumnRenamed("b_label", "y"), ["token", "y"])
                      .filter(_candidate(percent)).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct())
         if tested is not None:
