@@ -324,15 +324,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
             found = found.join(tested, (F.least("a", "b") == tested.lo) & (F.greatest("a", "b") == tested.hi),
                                "left_anti")
         pairs = materialize(found)
+        if pairs.isEmpty():
+            continue
         links = materialize(_verify(pairs, sets, percent))
         tested = _ordered(pairs) if tested is None else tested.union(_ordered(pairs))
-        edges = links if edges is None else edges.union(links)
-        labels = components(edges)
+        if not links.isEmpty():
+            edges = links if edges is None else edges.union(links)
+            labels = components(edges)
 
     spark.sql(f"DROP TABLE IF EXISTS {table}")
     keyed = [F.col("d.n") == F.col("c.n"), F.col("d.d1") == F.col("c.d1"), F.col("d.d2") == F.col("c.d2")]
-    joined = classes.join(labels, classes.d1 == labels.vertex, "left").select(
-        "n", "d1", "d2", "first_id", F.coalesce("label", "d1").alias("label"))
+    if labels is None:
+        joined = classes.withColumn("label", F.col("d1"))
+    else:
+        joined = classes.join(labels, classes.d1 == labels.vertex, "left").select(
+            "n", "d1", "d2", "first_id", F.coalesce("label", "d1").alias("label"))
     smallest = joined.groupBy("label").agg(F.min("first_id").alias("component_id"))
     named = joined.join(smallest, "label").select("n", "d1", "d2", "first_id", "component_id")
     return documents.alias("d").join(named.alias("c"), keyed, "left").select(

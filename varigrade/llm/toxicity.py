@@ -255,7 +255,7 @@ def learn_terms(sample: DataFrame) -> dict[str, bool]:
     chosen: dict[str, bool] = {}
     for stem in sorted(stems, key=lambda s: (len(s), s)):
         most = max((n for w, n in whole.items() if w.startswith(stem)), default=0)
-        if stems[stem] < 3 * least or stems[stem] < 1.5 * most or any(stem.startswith(s) for s in chosen):
+        if stems[stem] < 1.5 * least or stems[stem] < 1.5 * most or any(stem.startswith(s) for s in chosen):
             continue
         while longer := [s for s in stems if s[:-1] == stem and stems[s] >= 0.95 * stems[stem]]:
             stem = longer[0]
