@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from uuid import uuid4
 
@@ -23,13 +24,13 @@ def local_session(cores: str = "8", memory: str = "12g", app: str = "varigrade")
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; fall back to a scratch folder on local masters only."""
+    """Use the cluster's ``spark.checkpoint.dir``; fall back to a scratch folder on single-JVM masters only."""
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
         return
     configured = context.getConf().get("spark.checkpoint.dir")
     if configured is None:
-        if not context.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         configured = tempfile.mkdtemp(prefix="varigrade-checkpoint-")
     context.setCheckpointDir(configured)
