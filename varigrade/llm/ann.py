@@ -45,7 +45,8 @@ class Coder:
         self.mean = sample.mean(axis=0)
         centred = sample - self.mean
         bits = min(bits, sample.shape[1])
-        _, _, axes = np.linalg.svd(centred, full_matrices=True)
+        _, axes = np.linalg.eigh(centred.T @ centred)  # width x width, whatever the sample
+        axes = axes[:, ::-1].T
         projected = centred @ axes[:bits].T
         turn, _ = np.linalg.qr(np.random.default_rng(seed).normal(size=(bits, bits)))
         for _ in range(rounds):
