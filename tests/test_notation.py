@@ -7,37 +7,37 @@ from varigrade.plans.modelling import mutation_profile, parse_mutation, unparsed
 
 # text -> (type, position, deleted, inserted, ref, alt)
 CASES = {
-    "p.Ter559Glnext*?": ("extension", 559, 0, 0, "*", "Q"),
-    "p.Ter559ext*?": ("extension", 559, 0, 0, "*", None),
-    "p.Ter839delins???": ("delins", 839, 1, 0, "*", None),
-    "p.Asp379fs": ("frameshift", 379, 0, 0, "D", None),
-    "p.Trp122*": ("nonsense", 122, 0, 0, "W", "*"),
-    "p.TrpLeu266*": ("nonsense", 266, 0, 0, None, "*"),
-    "p.Met1?": ("uncertain", 1, 0, 0, "M", None),
-    "p.Leu95del": ("del", 95, 1, 0, "L", None),
-    "p.Val3_Thr4del": ("del", 3, 2, 0, "V", None),
-    "p.His68_Leu70dup": ("dup", 68, 0, 3, "H", None),
-    "p.Val389_Asp390insGlySer": ("ins", 389, 0, 2, "V", None),
-    "p.Leu443_Lys446delinsProGln": ("delins", 443, 4, 2, "L", None),
-    "p.Ala152Val": ("missense", 152, 0, 0, "A", "V"),
-    "p.Ala152Ter": ("missense", 152, 0, 0, "A", "*"),
-    "p.Xyz1Abc": ("missense", 1, 0, 0, "Xyz", "Abc"),
-    "p.Ala285dup": ("dup", 285, 0, 1, "A", None),
-    "c.-15C>T": ("SNV", -15, 0, 0, "C", "T"),
-    "n.1401A>G": ("SNV", 1401, 0, 0, "A", "G"),
-    "c.5delA": ("del", 5, 1, 0, None, None),
-    "c.5_7del": ("del", 5, 3, 0, None, None),
-    "c.-7_-5delACG": ("del", -7, 3, 0, None, None),
-    "c.5_6insGGT": ("ins", 5, 0, 3, None, None),
-    "c.5delAinsTT": ("delins", 5, 1, 2, None, None),
-    "c.5_8delinsTTA": ("delins", 5, 4, 0, None, None),
-    "c.5dupG": ("dup", 5, 0, 1, None, None),
-    "c.5_7dup": ("dup", 5, 0, 3, None, None),
-    "Rv0678_LoF": ("LoF", None, None, None, None, None),
-    "Loss of Function": ("LoF", None, None, None, None, None),
-    "LoF by deletion": ("LoF", None, None, None, None, None),
-    "Whole gene deletion": ("del", None, None, None, None, None),
-    "p.Ala1_deletion": ("del", None, None, None, None, None),
+    "p.Cys31Ser": ("missense", 31, 0, 0, "C", "S"),
+    "p.Phe8Ter": ("missense", 8, 0, 0, "F", "*"),
+    "p.Qqq6Www": ("missense", 6, 0, 0, "Qqq", "Www"),
+    "p.Gly17*": ("nonsense", 17, 0, 0, "G", "*"),
+    "p.PheSer44*": ("nonsense", 44, 0, 0, None, "*"),
+    "p.Lys73fs": ("frameshift", 73, 0, 0, "K", None),
+    "p.Arg2?": ("uncertain", 2, 0, 0, "R", None),
+    "p.Ile60del": ("del", 60, 1, 0, "I", None),
+    "p.Asn20_Glu24del": ("del", 20, 5, 0, "N", None),
+    "p.Tyr11dup": ("dup", 11, 0, 1, "Y", None),
+    "p.Gln5_Trp6dup": ("dup", 5, 0, 2, "Q", None),
+    "p.Met90_Lys91insArgCysPhe": ("ins", 90, 0, 3, "M", None),
+    "p.Tyr12_Ile14delinsHisAsn": ("delins", 12, 3, 2, "Y", None),
+    "p.Ter300Lysext*?": ("extension", 300, 0, 0, "*", "K"),
+    "p.Ter300ext*?": ("extension", 300, 0, 0, "*", None),
+    "p.Ter41delins??": ("delins", 41, 1, 0, "*", None),
+    "n.-28T>C": ("SNV", -28, 0, 0, "T", "C"),
+    "c.77G>T": ("SNV", 77, 0, 0, "G", "T"),
+    "n.9delC": ("del", 9, 1, 0, None, None),
+    "n.14_19del": ("del", 14, 6, 0, None, None),
+    "c.-12_-9delTTCA": ("del", -12, 4, 0, None, None),
+    "n.30_31insCA": ("ins", 30, 0, 2, None, None),
+    "c.18delGinsCAT": ("delins", 18, 1, 3, None, None),
+    "n.21_22delinsGC": ("delins", 21, 2, 0, None, None),
+    "n.16dupT": ("dup", 16, 0, 1, None, None),
+    "c.40_44dup": ("dup", 40, 0, 5, None, None),
+    "geneX_LOF": ("LoF", None, None, None, None, None),
+    "a loss of function": ("LoF", None, None, None, None, None),
+    "deletion, hence lof": ("LoF", None, None, None, None, None),
+    "partial deletion": ("del", None, None, None, None, None),
+    "p.Cys3_deletion": ("del", None, None, None, None, None),
 }
 UNKNOWN = (
     "p.ala1val", "p.Ala1Val trailing", "p.Ala1Val1", "xp.Ala1Val", "c.1A>N", "c.5insA", "p.Ala5insGly", "p.TrpLeu266del",

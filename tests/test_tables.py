@@ -90,9 +90,29 @@ def test_contingency(spark):
 
 
 def test_solo(spark):
-    df = spark.createDataFrame([(1, "a", None), (2, "a", 1), (2, "b", 1), (3, "a", 1), (3, "a", 1)],
-                               "sample int, mutation string, x int")
-    assert [tuple(r) for r in aggregates.solo_filter(df).collect()] == [(1, "a", None)]
+    """Repeated rows count once, mutations outside the catalogue don't count."""
+    df = spark.createDataFrame([(1, "a", None), (2, "a", 1), (2, "b", 1), (3, "a", 1), (3, "a", 1), (4, "a", 1),
+                                (4, "z", 1), (5, "z", 1), (6, None, 1)], "sample int, mutation string, x int")
+    catalogue = spark.createDataFrame([("a",), ("b",), ("a",)], "mutation string")
+    got = aggregates.solo_filter(df, catalogue, ["mutation"]).collect()
+    assert sorted((r.sample, r.mutation) for r in got) == [(1, "a"), (3, "a"), (4, "a")]
+
+
+def test_long_arrays_are_not_cut(spark):
+    from varigrade.operators.columns import array_to_columns
+
+    df = spark.createDataFrame([([1, 2],), (None,), ([3],)], "v array<int>")
+    assert [tuple(r) for r in array_to_columns(df, "v", "v", 2).collect()] == [(1, 2), (None, None), (3, None)]
+    with pytest.raises(Exception, match="more than 1 elements"):
+        array_to_columns(df, "v", "v", 1).collect()
+
+
+def test_rows_without_descriptors_get_zeros(spark):
+    from varigrade.operators.models import columns_to_vector
+
+    df = spark.createDataFrame([(1.0, [2.0, 3.0]), (4.0, None)], "x double, embedding array<double>")
+    rows = columns_to_vector(df).select("features").collect()
+    assert [r.features.toArray().tolist() for r in rows] == [[1.0, 2.0, 3.0], [4.0, 0.0, 0.0]]
 
 
 def test_dense_index_over_many_partitions(spark):

@@ -21,8 +21,6 @@ GRADE_CODES = {
 PPV_EDGES = ((0.8, 3), (0.6, 2), (0.2, 1))
 
 # Display names of the ordinal labels.
-RISK_LABELS = ("Low Risk", "Moderate Risk", "High Risk", "Very High Risk")
-GRADE_LABELS = ("NotAssoc w R", "NotAssoc w R(interim)", "Assoc w R(interim)", "Assoc w R")
 
 
 def grade_code(grade: Column) -> Column:

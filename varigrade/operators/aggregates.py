@@ -134,8 +134,11 @@ def mutation_contingency(carriers: DataFrame, samples: DataFrame) -> DataFrame:
     return with_contingency_rates(cells)
 
 
-def solo_filter(df: DataFrame, sample: str = "sample") -> DataFrame:
-    """Rows whose sample carries exactly one row. Each sample shrinks to (count, one row) before the shuffle."""
-    others = [c for c in df.columns if c != sample]
-    folded = df.groupBy(sample).agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(*others)).alias("_row"))
-    return folded.filter("_n = 1").select(sample, "_row.*")
+def solo_filter(df: DataFrame, catalogue: DataFrame, keys: Sequence[str], sample: str = "sample") -> DataFrame:
+    """(sample, keys) of the catalogued mutations that are the only catalogued one of their sample.
+
+    Repeated rows of one mutation count once and mutations outside the catalogue don't count.
+    """
+    listed = df.join(catalogue.select(*keys).distinct(), list(keys), "left_semi").select(sample, *keys).distinct()
+    alone = listed.groupBy(sample).count().filter("count = 1").select(sample)
+    return listed.join(alone, sample, "left_semi")

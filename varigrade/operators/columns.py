@@ -42,8 +42,9 @@ def select_by_dtype(df: DataFrame, numeric: bool = True) -> DataFrame:
 
 
 def array_to_columns(df: DataFrame, array: str, prefix: str, width: int) -> DataFrame:
-    """Spread a fixed-width array over ``prefix_0 .. prefix_{width-1}``."""
-    spread = [F.col(array)[i].alias(f"{prefix}_{i}") for i in range(width)]
+    """Spread a fixed-width array over ``prefix_0 .. prefix_{width-1}``; a longer array stops the job."""
+    fits = F.when(F.size(array) > width, F.raise_error(F.lit(f"{array} has more than {width} elements"))).otherwise(F.col(array))
+    spread = [F.get(fits, F.lit(i)).alias(f"{prefix}_{i}") for i in range(width)]
     return df.select(*[c for c in df.columns if c != array], *spread)
 
 

@@ -52,12 +52,14 @@ def columns_to_vector(df: DataFrame, drop: Sequence[str] = BASELINE_DROP, output
     numbers = [f.name for f in fields if isinstance(f.dataType, (T.NumericType, T.BooleanType))]
     arrays = [f.name for f in fields if isinstance(f.dataType, T.ArrayType)]
     categories = [f.name for f in fields if f.name in CATEGORIES]
+    # one row: the widths of the arrays, so that a row without descriptors gets zeros
+    widths = df.agg(*[F.coalesce(F.max(F.size(c)), F.lit(0)).alias(c) for c in arrays]).first() if arrays else {}
     filled = df.withColumns(
         {f"_n_{c}": F.coalesce(F.col(c).cast("double"), F.lit(float(missing))) for c in numbers}
-        | {f"_a_{c}": array_to_vector(F.col(c).cast("array<double>")) for c in arrays})
+        | {f"_a_{c}": array_to_vector(F.coalesce(F.col(c).cast("array<double>"), F.array_repeat(F.lit(0.0), max(0, widths[c]))))
+           for c in arrays})
     hot = one_hot_vectors(categories).fit(filled).transform(filled) if categories else filled
     inputs = [*[f"_n_{c}" for c in numbers], *[f"{c}_hot" for c in categories], *[f"_a_{c}" for c in arrays]]
-    # a drug without descriptors has no vector and stops the job; no row is dropped silently
     assembled = VectorAssembler(inputCols=inputs, outputCol=output, handleInvalid="error").transform(hot)
     return assembled.select(*df.columns, output)
 

@@ -21,11 +21,11 @@ _B = "(l_partkey % 900 + 1 + l_linenumber)"
 
 # One notation text per shape; {a} and {b} are positions.
 _SHAPES = (
-    "p.Ter{a}Glnext*?", "p.Ter{a}ext*?", "p.Ter{a}delins???", "p.Asp{a}fs", "p.Trp{a}*", "p.TrpLeu{a}*",
-    "p.Met{a}?", "p.Leu{a}del", "p.Val{a}_Thr{b}del", "p.His{a}_Leu{b}dup", "p.Val{a}_Asp{b}insGlySer",
-    "p.Pro{a}_Val{b}delinsLeu", "p.Ala{a}Val", "p.Ala{a}dup", "c.-{a}A>G", "n.{a}del", "c.{a}_{b}delACG",
-    "c.{a}_{b}insGGT", "c.{a}delAinsTT", "c.{a}_{b}delinsTTA", "c.{a}dupG", "c.-{b}_-{a}dup", "Rv0678_LoF",
-    "Whole gene deletion", "p.ala{a}val", "c.1A>N",
+    "p.Cys{a}Ser", "p.Gly{a}*", "p.Lys{a}fs", "p.Ile{a}del", "p.Tyr{a}dup", "p.Arg{a}?", "p.PheSer{a}*",
+    "p.Asn{a}_Glu{b}del", "p.Gln{a}_Trp{b}dup", "p.Met{a}_Lys{b}insArgCysPhe", "p.Tyr{a}_Ile{b}delinsHisAsn",
+    "p.Ter{a}Lysext*?", "p.Ter{a}ext*?", "p.Ter{a}delins??", "n.-{a}T>C", "c.{a}del", "n.{a}dupT", "c.{a}delGinsCA",
+    "n.{a}_{b}delTTC", "c.{a}_{b}insCAT", "n.{a}_{b}delinsGC", "c.-{b}_-{a}dup", "geneX_lof", "partial deletion",
+    "p.cys{a}ser", "n.7G>R",
 )
 
 

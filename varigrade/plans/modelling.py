@@ -126,4 +126,8 @@ def clean_features(encoded: DataFrame, min_gene_rows: int = 10) -> DataFrame:
 
 def positioned_features(clean: DataFrame, loci: DataFrame, compat: bool = False) -> DataFrame:
     """Mutation keys and gene-relative coordinates on the cleaned features."""
-    return attach_gene_coordinates(mutation_key(clean, compat=compat), loci)
+    if not compat:
+        return attach_gene_coordinates(mutation_key(clean), loci)
+    # one gene per row for both the key and the locus
+    named = clean.withColumn("_gene", F.coalesce("gene", clean.select(F.min("gene")).scalar()))
+    return attach_gene_coordinates(mutation_key(named, gene="_gene"), loci, gene="_gene").drop("_gene")

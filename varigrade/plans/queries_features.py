@@ -10,43 +10,49 @@ from varigrade.operators import columns, coordinates, encoding, folds
 from varigrade.plans import evaluation, modelling
 from varigrade.plans.registry import STAGES, query
 
-# The notation grammar once more, as SQL: number of the first matching rule, then features by number.
+# The notation once more, as SQL: where the change is (site), what stands behind it (tail), then what the two say.
 _AA = "[A-Z][a-z]{2}"
-_RULES = (
-    f"p\\.Ter(\\d+)({_AA})?ext\\*\\?", "p\\.Ter(\\d+)delins\\?+", f"p\\.({_AA})(\\d+)fs", f"p\\.({_AA})(\\d+)\\*",
-    f"p\\.({_AA}{_AA})(\\d+)\\*", f"p\\.({_AA})(\\d+)\\?", f"p\\.({_AA})(\\d+)del", f"p\\.({_AA})(\\d+)_{_AA}(\\d+)del",
-    f"p\\.({_AA})(\\d+)_{_AA}(\\d+)dup", f"p\\.({_AA})(\\d+)_{_AA}(\\d+)ins({_AA})+",
-    f"p\\.({_AA})(\\d+)_{_AA}(\\d+)delins({_AA})+", f"p\\.({_AA})(\\d+)({_AA})", f"p\\.({_AA})(\\d+)dup",
-    "[cn]\\.-?\\d+[ACGT]>[ACGT]", "[cn]\\.-?\\d+del[ACGT]*", "[cn]\\.-?\\d+_-?\\d+del[ACGT]*",
-    "[cn]\\.-?\\d+_-?\\d+ins[ACGT]+", "[cn]\\.-?\\d+del[ACGT]*ins[ACGT]+", "[cn]\\.-?\\d+_-?\\d+del[ACGT]*ins[ACGT]+",
-    "[cn]\\.-?\\d+dup[ACGT]*", "[cn]\\.-?\\d+_-?\\d+dup[ACGT]*",
-)
-_FIRST_RULE = " ".join(f"WHEN regexp_full_match(mutation, '{shape}') THEN {i}" for i, shape in enumerate(_RULES, 1))
 STAGES["parsed"] = f"""
+    WITH sites AS (
+        SELECT *, regexp_extract(mutation, '^(p\\.(?:{_AA})+\\d+(?:_{_AA}\\d+)?|[cn]\\.-?\\d+(?:_-?\\d+)?)', 1) AS place
+        FROM notation),
+    cut AS (
+        SELECT *, substr(mutation, length(place) + 1) AS tail, contains(place, '_') AS ranged, place[1] = 'p' AS protein,
+            (length(regexp_extract(place, '^p\\.([A-Za-z]+)', 1)) // 3) AS residues, substr(place, 3, 3) AS first_residue,
+            TRY_CAST(regexp_extract(place, '(-?\\d+)', 1) AS INTEGER) AS a,
+            TRY_CAST(regexp_extract(place, '_[^-0-9]*(-?\\d+)', 1) AS INTEGER) AS b FROM sites),
+    told AS (
+        SELECT *, CASE WHEN ranged THEN abs(b - a) + 1 ELSE 1 END AS span, CASE
+            WHEN place = '' OR residues > 2 THEN NULL
+            WHEN residues = 2 THEN CASE WHEN tail = '*' AND NOT ranged THEN 'nonsense' END
+            WHEN protein AND ranged THEN CASE WHEN tail IN ('del', 'dup') THEN tail
+                WHEN regexp_full_match(tail, '(del)?ins({_AA})+') THEN replace(regexp_extract(tail, '^[a-z]+'), ' ', '') END
+            WHEN protein AND first_residue = 'Ter' AND regexp_full_match(tail, '({_AA})?ext[*][?]') THEN 'extension'
+            WHEN protein AND first_residue = 'Ter' AND regexp_full_match(tail, 'delins[?]+') THEN 'delins'
+            WHEN protein AND regexp_full_match(tail, '{_AA}') THEN 'missense'
+            WHEN protein THEN CASE tail WHEN '*' THEN 'nonsense' WHEN '?' THEN 'uncertain' WHEN 'fs' THEN 'frameshift'
+                WHEN 'del' THEN tail WHEN 'dup' THEN tail END
+            WHEN regexp_full_match(tail, 'dup[ACGT]*') THEN 'dup'
+            WHEN regexp_full_match(tail, 'del[ACGT]*') THEN 'del'
+            WHEN regexp_full_match(tail, 'del[ACGT]*ins[ACGT]+') THEN 'delins'
+            WHEN ranged AND regexp_full_match(tail, 'ins[ACGT]+') THEN 'ins'
+            WHEN NOT ranged AND regexp_full_match(tail, '[ACGT]>[ACGT]') THEN 'SNV' END AS kind FROM cut),
+    sized AS (
+        SELECT *, length(regexp_extract(tail, 'ins(.*)$', 1)) AS added,
+            CASE WHEN kind = 'missense' THEN tail WHEN kind = 'extension' AND tail[1] <> 'e' THEN left(tail, 3) END AS new3
+        FROM told)
     SELECT rid, gene, mutation,
-        CASE WHEN rule = 1 THEN 'extension' WHEN rule IN (2, 11, 18, 19) THEN 'delins' WHEN rule = 3 THEN 'frameshift'
-            WHEN rule IN (4, 5) THEN 'nonsense' WHEN rule = 6 THEN 'uncertain' WHEN rule IN (7, 8, 15, 16, 23) THEN 'del'
-            WHEN rule IN (9, 13, 20, 21) THEN 'dup' WHEN rule IN (10, 17) THEN 'ins' WHEN rule = 12 THEN 'missense'
-            WHEN rule = 14 THEN 'SNV' WHEN rule = 22 THEN 'LoF' ELSE 'unknown' END AS mut_type,
-        CASE WHEN rule < 22 THEN a END AS mutation_position,
-        CASE WHEN rule > 21 THEN NULL WHEN rule IN (2, 7, 15, 18) THEN 1 WHEN rule IN (8, 11, 16, 19) THEN abs(b - a) + 1
-            ELSE 0 END AS del_len,
-        CAST(CASE WHEN rule > 21 THEN NULL WHEN rule IN (9, 21) THEN abs(b - a) + 1 WHEN rule IN (13, 20) THEN 1
-            WHEN rule IN (10, 11) THEN length(regexp_extract(mutation, 'ins(.*)$', 1)) // 3
-            WHEN rule IN (17, 18) THEN length(regexp_extract(mutation, 'ins(.*)$', 1)) ELSE 0 END AS INTEGER) AS ins_len,
-        CASE WHEN rule IN (1, 2) THEN '*' WHEN rule IN (3, 4, 6, 7, 8, 9, 10, 11, 12, 13) THEN coalesce(r.one, ref3)
-            WHEN rule = 14 THEN regexp_extract(mutation, '([ACGT])>', 1) END AS ref,
-        CASE WHEN rule IN (4, 5) THEN '*' WHEN rule = 12 OR (rule = 1 AND alt3 <> '') THEN coalesce(s.one, alt3)
-            WHEN rule = 14 THEN regexp_extract(mutation, '>([ACGT])', 1) END AS alt
-    FROM (SELECT *,
-        CASE {_FIRST_RULE} WHEN contains(lower(mutation), 'lof') OR contains(lower(mutation), 'loss of function') THEN 22
-            WHEN contains(lower(mutation), 'deletion') THEN 23 ELSE 24 END AS rule,
-        TRY_CAST(regexp_extract(mutation, '^[^-0-9]*(-?\\d+)', 1) AS INTEGER) AS a,
-        TRY_CAST(regexp_extract(mutation, '_[^-0-9]*(-?\\d+)', 1) AS INTEGER) AS b,
-        regexp_extract(mutation, '^p\\.({_AA})', 1) AS ref3,
-        regexp_extract(mutation, '\\d({_AA})(?:ext\\*\\?)?$', 1) AS alt3
-        FROM notation)
-    LEFT JOIN aa r ON r.three = ref3 LEFT JOIN aa s ON s.three = alt3"""
+        coalesce(kind, CASE WHEN contains(lower(mutation), 'lof') OR contains(lower(mutation), 'loss of function') THEN 'LoF'
+            WHEN contains(lower(mutation), 'deletion') THEN 'del' ELSE 'unknown' END) AS mut_type,
+        CASE WHEN kind IS NOT NULL THEN a END AS mutation_position,
+        CASE WHEN kind IS NOT NULL THEN CASE WHEN left(tail, 3) = 'del' THEN span ELSE 0 END END AS del_len,
+        CAST(CASE WHEN kind IS NULL THEN NULL WHEN kind = 'dup' THEN span WHEN protein AND ranged THEN added // 3
+            WHEN kind = 'ins' OR (kind = 'delins' AND NOT protein AND NOT ranged) THEN added ELSE 0 END AS INTEGER) AS ins_len,
+        CASE WHEN kind = 'SNV' THEN tail[1] WHEN kind IS NOT NULL AND residues = 1 THEN coalesce(r.one, first_residue)
+            END AS ref,
+        CASE WHEN kind = 'nonsense' THEN '*' WHEN kind = 'SNV' THEN tail[3] WHEN new3 IS NOT NULL THEN coalesce(s.one, new3)
+            END AS alt
+    FROM sized LEFT JOIN aa r ON r.three = first_residue LEFT JOIN aa s ON s.three = new3"""
 STAGES["graded"] = """
     SELECT * EXCLUDE (grade), CASE grade WHEN '5) Not assoc w R' THEN 0 WHEN '4) Not assoc w R - Interim' THEN 1
         WHEN '2) Assoc w R - Interim' THEN 2 WHEN '1) Assoc w R' THEN 3 END AS resistant

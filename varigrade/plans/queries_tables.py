@@ -346,10 +346,13 @@ def contingency_metrics(t):
     return aggregates.mutation_contingency(carriers, tested)
 
 
-@query("""SELECT uniqueid, gene, mutation FROM (
-    SELECT uniqueid, gene, mutation, count(*) OVER (PARTITION BY uniqueid) AS n FROM mutations) WHERE n = 1""")
+@query("""WITH listed AS (SELECT DISTINCT m.uniqueid, m.gene, m.mutation FROM mutations m
+        JOIN (SELECT DISTINCT gene, mutation FROM mic_groups) c ON m.gene = c.gene AND m.mutation = c.mutation)
+    SELECT uniqueid, gene, mutation FROM (SELECT *, count(*) OVER (PARTITION BY uniqueid) AS n FROM listed) WHERE n = 1""")
 def solo_filter(t):
-    return aggregates.solo_filter(t["mutations"].select("uniqueid", "gene", "mutation"), "uniqueid")
+    """The catalogue here: variants with a measurement summary."""
+    return aggregates.solo_filter(t["mutations"], t.summary, ["gene", "mutation"], "uniqueid").select(
+        "uniqueid", "gene", "mutation")
 
 
 @query("SELECT * FROM merged")
