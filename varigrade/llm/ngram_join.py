@@ -101,15 +101,20 @@ def _counts(data: bytes) -> np.ndarray:
 def _levels(parts: DataFrame) -> np.ndarray:
     """One byte per counter, on a log scale; partial sums are added ``FAN_IN`` at a time."""
 
-    def added(key: tuple, table: pa.Table) -> pa.Table:
-        total = sum(_counts(data) for data in table.column("counts").to_pylist())
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([_pressed(total)], pa.binary())})
+    def added(last: bool):
+        def run(key: tuple, table: pa.Table) -> pa.Table:
+            total = sum(_counts(data) for data in table.column("counts").to_pylist())
+            data = np.minimum(255, np.rint(8 * np.log2(1.0 + total))).astype(np.uint8).tobytes() if last else _pressed(total)
+            return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([data], pa.binary())})
+
+        return run
 
     first = parts.groupBy("block", F.expr(f"salt div {FAN_IN}").alias("part")).applyInArrow(
-        added, "block int, counts binary")
+        added(False), "block int, counts binary")
     level = np.zeros((1 << (SKETCH_BITS - BLOCK_BITS), 1 << BLOCK_BITS), np.uint8)
-    for block, counts in first.groupBy("block").applyInArrow(added, "block int, counts binary").toLocalIterator():
-        level[block] = np.minimum(255, np.rint(8 * np.log2(1.0 + _counts(counts))))
+    final = first.groupBy("block").applyInArrow(added(True), "block int, counts binary").toArrow()  # 2**SKETCH_BITS bytes
+    for block, data in zip(final.column("block").to_pylist(), final.column("counts").to_pylist()):
+        level[block] = np.frombuffer(data, np.uint8)
     return level.ravel()
 
 
@@ -252,8 +257,9 @@ def _write_sets(source: DataFrame, active: DataFrame, table: str, width: int, pe
     bits[slots.column("slot").to_numpy()] = True
     bitmap = spark.sparkContext.broadcast(np.packbits(bits).tobytes())
     made = source.mapInArrow(_sets(width, percent, levels, bitmap), _ddl(_SETS))
-    # repeated rows of an id give the same set again; harmless, as links are distinct
-    (made.join(active, (made.set_id == active.id) & (made.doc_id == active.first_id))
+    # repeated rows of an id give the same set again; harmless, as links are distinct. As a range, the second condition
+    # leaves the join partitioned by class alone, as the buckets are, so each bucket is written by one task.
+    (made.join(active, (made.set_id == active.id) & made.doc_id.between(active.first_id, active.first_id))
      .select("id", "n", "grams", "tokens", "suffix", "shared")
      .write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
      .option("path", scratch_path(spark, "sets")).saveAsTable(table))
