@@ -49,6 +49,8 @@ BITMAP_BITS = 22
 ROUNDS = 2
 #: Members verified together against one pivot; bounds what a task holds.
 GROUP = 128
+#: Earlier n-grams that travel with a posting of the closing round.
+BEFORE = 32
 _SHIFT = np.uint64(64 - SKETCH_BITS)
 _PROFILE = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()),
                       ("block", pa.int32()), ("salt", pa.int32()), ("counts", pa.binary())])
@@ -200,20 +202,36 @@ def _candidate(percent: int):
 
 
 def _between(postings: DataFrame, percent: int) -> DataFrame:
-    """(token, x, y): pairs of components whose members' sizes and places leave room for a link."""
-    held = postings.groupBy("token", "label").agg(
+    """(token, x, y): pairs of components whose members' sizes and places leave room for a link.
+
+    Where an n-gram has one member of either component, the pair is made at the first n-gram the two share, so nothing
+    before it can be shared and what follows must hold the whole overlap. Up to ``BEFORE`` earlier n-grams travel with a
+    posting; with more of them, or more members, the weaker bound holds and no pair is lost.
+    """
+    common = postings.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("held"))
+    place = F.array_position("common", F.col("token")) - 1
+    listed = postings.join(common.select(F.col("id").alias("of"), F.col("held.token").alias("common")),
+                           F.col("id") == F.col("of")).select(
+        "token", "label", "n", "pos", F.slice("common", F.lit(1), F.least(place, F.lit(BEFORE)).cast("int")).alias("before"),
+        (place <= BEFORE).alias("whole"))
+    held = listed.groupBy("token", "label").agg(
         F.min("n").alias("low"), F.max("n").alias("high"), F.max("pos").alias("ahead"),
-        F.max(F.col("n") - F.col("pos")).alias("rest"))
+        F.max(F.col("n") - F.col("pos")).alias("rest"), F.count(F.lit(1)).alias("members"),
+        F.any_value("before").alias("before"), F.bool_and("whole").alias("whole"))
 
     def side(name: str) -> DataFrame:
-        return held.select("token", *[F.col(c).alias(f"{name}_{c}") for c in ("label", "low", "high", "ahead", "rest")])
+        return held.select("token", *[F.col(c).alias(f"{name}_{c}") for c in (
+            "label", "low", "high", "ahead", "rest", "members", "before", "whole")])
 
     need = F.ceil(percent * (F.col("x_low") + F.col("y_low")) / F.lit(100.0 + percent) - F.lit(1e-9))
-    room = F.least("x_ahead", "y_ahead") + F.least("x_rest", "y_rest")
+    rest = F.least("x_rest", "y_rest")
+    single = (F.col("x_members") == 1) & (F.col("y_members") == 1)
+    first = ~F.arrays_overlap("x_before", "y_before") & (~F.col("x_whole") | ~F.col("y_whole") | (rest >= need))
     left, right = side("x"), side("y").withColumnRenamed("token", "of")
     return left.join(right, (left.token == right.of) & (F.col("x_label") < F.col("y_label"))
                      & (100 * F.col("x_high") >= percent * F.col("y_low"))
-                     & (100 * F.col("y_high") >= percent * F.col("x_low")) & (room >= need)
+                     & (100 * F.col("y_high") >= percent * F.col("x_low"))
+                     & (F.least("x_ahead", "y_ahead") + rest >= need) & (~single | first)
                      ).select("token", F.col("x_label").alias("x"), F.col("y_label").alias("y"))
 
 
