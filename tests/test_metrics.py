@@ -52,8 +52,12 @@ def test_report_text(spark, log, tmp_path):
 
 
 def test_class_weights(spark):
-    df = spark.createDataFrame([("a",)] * 3 + [("b",)], "y string")
-    assert statistics.class_weights(df, "y") == {"a": 4 / 6, "b": 2.0}
+    df = spark.createDataFrame([("a",)] * 3 + [("b",), (None,)], "y string")
+    assert dict(statistics.class_weights(df, "y").collect()) == {"a": 4 / 6, "b": 2.0}
+    weighted = statistics.class_weights_balanced(df, "y").collect()
+    assert sorted((r.y or "", r.class_weight) for r in weighted) == [("", None), *[("a", 4 / 6)] * 3, ("b", 2.0)]
+    many = statistics.class_weights_balanced(spark.range(3000), "id")  # as many classes as rows
+    assert many.filter("class_weight = 1").count() == 3000
 
 
 def test_scaling_uses_the_training_part(spark):

@@ -46,6 +46,20 @@ def test_weights(rows):
     assert repeated.count() == 200 * 4 + 200
 
 
+def test_scaler_sees_each_row_once(rows):
+    labelled = models.labelled(rows, "ppv_bin")
+    model = models.mlp_classify(8, iterations=2).fit(labelled)
+    mean, width = rows.select(F.avg("noise"), F.stddev("noise")).first()
+    assert model.stages[0].mean[0] == pytest.approx(mean) and model.stages[0].std[0] == pytest.approx(width)
+
+
+def test_unknown_text_columns_are_refused(spark):
+    df = spark.createDataFrame([("x", 1.0)], "colour string, n double")
+    with pytest.raises(ValueError, match="colour"):
+        models.columns_to_vector(df, drop=())
+    assert models.vector_width(models.columns_to_vector(df, drop=("colour",)), "features") == 1
+
+
 @pytest.mark.parametrize("learner", [
     models.rf_classify(trees=5, depth=4),
     models.mlp_classify(8, iterations=30),

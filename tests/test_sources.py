@@ -18,7 +18,6 @@ def test_manifest(spark, tmp_path, monkeypatch):
         "name string, md5 string")
     expected = {"a.bin": "ok", "b.bin": "ok", "c.bin": "mismatch", "d.bin": "missing"}
     assert dict(readers.verify_manifest(spark, str(tmp_path), manifest).collect()) == expected
-    monkeypatch.setattr(readers, "WHOLE_FILE_LIMIT", 2000)  # b.bin is streamed now
     monkeypatch.setattr(readers, "STREAM_CHUNK", 700)
     assert dict(readers.verify_manifest(spark, str(tmp_path), manifest).collect()) == expected
 

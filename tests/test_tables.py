@@ -130,13 +130,15 @@ def test_vocab_defaults_and_codes(spark):
     assert [r.value for r in joins.anti_unseen_vocab(df, part, "x").collect()] == ["c"]
 
 
-def test_one_hot_levels_and_guard(spark):
+def test_one_hot_levels(spark):
     df = spark.createDataFrame([("b",), ("a",), (None,)], "x string")
     wide = encoding.one_hot(df, ["x"])
     assert wide.columns == ["x_a", "x_b"] and [tuple(r) for r in wide.collect()] == [(0, 1), (1, 0), (0, 0)]
     assert encoding.one_hot_drop_first(df, ["x"]).columns == ["x_b"]
-    with pytest.raises(ValueError, match="more than 1 levels"):
-        encoding.levels_of(df, "x", 1)
+    named = encoding.one_hot(df, ["x"], levels={"x": ["b", "z"]})
+    assert named.columns == ["x_b", "x_z"] and [tuple(r) for r in named.collect()] == [(1, 0), (0, 0), (0, 0)]
+    many = spark.range(6000).select(F.format_string("v%04d", "id").alias("x"))
+    assert len(encoding.levels_of(many, "x")) == 6000
 
 
 def test_coordinates_before_the_gene_and_missing(spark):

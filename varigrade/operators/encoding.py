@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import OneHotEncoder, StringIndexer
@@ -12,8 +12,6 @@ from pyspark.sql import Window
 
 from varigrade.session import materialize
 
-MAX_WIDE_LEVELS = 5000
-
 
 def dense_index(df: DataFrame, order: Sequence, name: str = "id") -> DataFrame:
     """Number all rows 0..n-1 in the given order without gathering them in one task.
@@ -60,26 +58,29 @@ def prune_rare_categories(df: DataFrame, column: str, min_rows: int = 10, output
     return joined.withColumn(output or column, F.col("_kept")).drop("_kept")
 
 
-def levels_of(df: DataFrame, column: str, max_levels: int = MAX_WIDE_LEVELS) -> list:
-    """Sorted distinct values on the driver, refused beyond ``max_levels`` (a column is made per level)."""
-    found = df.select(column).filter(F.col(column).isNotNull()).distinct().limit(max_levels + 1).collect()
-    if len(found) > max_levels:
-        raise ValueError(f"{column} has more than {max_levels} levels; use one_hot_vectors")
-    return sorted(row[0] for row in found)
+def levels_of(df: DataFrame, column: str) -> list:
+    """Sorted distinct values, as many as the columns to be made of them."""
+    return sorted(row[0] for row in df.select(column).filter(F.col(column).isNotNull()).distinct().collect())
+
 
+def one_hot(df: DataFrame, columns: Sequence[str], drop_first: bool = False,
+            levels: Mapping[str, Sequence] | None = None) -> DataFrame:
+    """Replace each column by 0/1 columns ``<column>_<level>`` in level order; a missing value is all zero.
 
-def one_hot(df: DataFrame, columns: Sequence[str], drop_first: bool = False) -> DataFrame:
-    """Replace each column by 0/1 columns ``<column>_<level>`` in level order; a missing value is all zero."""
+    ``levels`` names the levels of a column beforehand, so that its values aren't looked up (a value outside them is
+    all zero). The table gets a column per level; columns with very many levels belong in ``one_hot_vectors``.
+    """
     wide = [c for c in df.columns if c not in columns]
     flags = []
     for column in columns:
-        for level in levels_of(df, column)[1 if drop_first else 0:]:
+        known = levels[column] if levels and column in levels else levels_of(df, column)
+        for level in known[1 if drop_first else 0:]:
             flags.append(F.coalesce((F.col(column) == level).cast("int"), F.lit(0)).alias(f"{column}_{level}"))
     return df.select(*wide, *flags)
 
 
-def one_hot_drop_first(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return one_hot(df, columns, drop_first=True)
+def one_hot_drop_first(df: DataFrame, columns: Sequence[str], levels: Mapping[str, Sequence] | None = None) -> DataFrame:
+    return one_hot(df, columns, drop_first=True, levels=levels)
 
 
 def one_hot_vectors(columns: Sequence[str], suffix: str = "_hot") -> Pipeline:

@@ -10,6 +10,8 @@ from pyspark.sql import Window
 
 from varigrade.operators.encoding import dense_index
 
+RANK_BLOCK = 1 << 16
+
 
 def level_loads(sizes: Iterable[tuple[int, int]], folds: int) -> list[tuple[int, int, int, int]]:
     """Greedy balancing (largest group to the lightest fold) on a histogram of group sizes.
@@ -47,19 +49,22 @@ def level_loads(sizes: Iterable[tuple[int, int]], folds: int) -> list[tuple[int,
 def assign_group_folds(df: DataFrame, group: str, folds: int = 5) -> DataFrame:
     """(group, n_rows, fold) with groups spread over ``folds`` so that the row counts are balanced.
 
-    Only the histogram of group sizes reaches the driver: N rows have at most sqrt(2N) different sizes.
+    Only the histogram of group sizes reaches the driver: N rows have at most sqrt(2N) different sizes. Groups meet their
+    fold by size and block of ``RANK_BLOCK`` ranks, so the many groups of one size are spread over tasks.
     """
     spark = df.sparkSession
     counts = df.groupBy(group).agg(F.count(F.lit(1)).alias("n_rows"))
-    ranked = dense_index(counts, [F.desc("n_rows"), group], "_rank")
+    block = F.expr(f"_rank div {RANK_BLOCK}")
+    ranked = dense_index(counts, [F.desc("n_rows"), group], "_rank").withColumn("_block", block)
     histogram = ranked.groupBy("n_rows").agg(F.count(F.lit(1)).alias("n"), F.min("_rank").alias("first")).collect()
     starts = {row.n_rows: row["first"] for row in histogram}
     plan = spark.createDataFrame(
         [(size, starts[size] + first, starts[size] + last, fold)
          for size, first, last, fold in level_loads([(r.n_rows, r.n) for r in histogram], folds)],
         "n_rows bigint, _first bigint, _last bigint, fold int")
+    blocks = F.explode(F.expr(f"sequence(_first div {RANK_BLOCK}, (_last - 1) div {RANK_BLOCK})")).alias("_block")
     inside = (F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_last"))
-    return ranked.join(plan, "n_rows").filter(inside).select(group, "n_rows", "fold")
+    return ranked.join(plan.select("*", blocks), ["n_rows", "_block"]).filter(inside).select(group, "n_rows", "fold")
 
 
 def group_kfold(df: DataFrame, group: str, folds: int = 5, missing: str | None = None,

@@ -58,13 +58,17 @@ def confusion_pivot(log: DataFrame, labels: Sequence[int] = LABELS, by: Sequence
 
 def class_scores(log: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Per label seen as actual or predicted: precision, recall, F1 (0 when undefined) and support."""
+    return _scores_of_counts(outcome_counts(log, by), by)
+
+
+def _scores_of_counts(counts: DataFrame, by: Sequence[str]) -> DataFrame:
     hit = F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(F.lit(0))
     zero = F.lit(0).cast("bigint")
     sides = F.explode(F.array(
         F.struct(F.col("actual").alias("label"), F.col("n").alias("support"), zero.alias("chosen"), hit.alias("hits")),
         F.struct(F.col("predicted").alias("label"), zero.alias("support"), F.col("n").alias("chosen"), zero.alias("hits")),
     )).alias("_side")
-    totals = outcome_counts(log, by).select(*by, sides).select(*by, "_side.*").groupBy(*by, "label").agg(
+    totals = counts.select(*by, sides).select(*by, "_side.*").groupBy(*by, "label").agg(
         *[F.sum(c).alias(c) for c in ("support", "chosen", "hits")])
 
     def ratio(part, whole):
@@ -108,24 +112,37 @@ def balanced_accuracy(log: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def scores(log: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Accuracy and balanced accuracy side by side."""
-    return class_scores(log, by).groupBy(*by).agg(
+    return _both_accuracies(outcome_counts(log, by), by)
+
+
+def _both_accuracies(counts: DataFrame, by: Sequence[str]) -> DataFrame:
+    return _scores_of_counts(counts, by).groupBy(*by).agg(
         (F.sum("hits") / F.sum("support")).alias("accuracy"),
         F.avg(F.when(F.col("support") > 0, F.col("recall"))).alias("balanced_accuracy"))
 
 
 def fold_summary(log: DataFrame, model: str = "model", fold: str = "fold") -> DataFrame:
-    """Per model, best first: mean over the folds of both accuracies, and the same pooled over all rows."""
-    means = scores(log, [model, fold]).groupBy(model).agg(
-        F.avg("accuracy").alias("accuracy"), F.avg("balanced_accuracy").alias("balanced_accuracy"))
-    pooled = scores(log, [model]).select(
-        model, F.col("accuracy").alias("pooled_accuracy"),
-        F.col("balanced_accuracy").alias("pooled_balanced_accuracy"))
-    return means.join(pooled, model).orderBy(F.desc("accuracy"), model)
+    """Per model, best first: mean over the folds of both accuracies, and the same pooled over all rows.
+
+    The log is counted once; each count stands for its fold and for the pool.
+    """
+    parts = F.explode(F.array(
+        F.struct(F.lit(False).alias("pooled"), F.col(fold).alias("part")),
+        F.struct(F.lit(True).alias("pooled"), F.lit(None).alias("part")))).alias("_p")
+    counts = outcome_counts(log, [model, fold]).select(model, "actual", "predicted", "n", parts).select(
+        model, "actual", "predicted", "n", "_p.*")
+    found = _both_accuracies(counts, [model, "pooled", "part"])
+    measures = ("accuracy", "balanced_accuracy")
+    return found.groupBy(model).agg(
+        *[F.avg(F.when(~F.col("pooled"), F.col(m))).alias(m) for m in measures],
+        *[F.max(F.when(F.col("pooled"), F.col(m))).alias(f"pooled_{m}") for m in measures],
+    ).orderBy(F.desc("accuracy"), model)
 
 
 def model_comparison(log: DataFrame, model: str = "model", fold: str = "fold") -> DataFrame:
     """(model, accuracy, balanced_accuracy) averaged over folds, best first."""
-    return fold_summary(log, model, fold).select(model, "accuracy", "balanced_accuracy")
+    return scores(log, [model, fold]).groupBy(model).agg(
+        *[F.avg(m).alias(m) for m in ("accuracy", "balanced_accuracy")]).orderBy(F.desc("accuracy"), model)
 
 
 def mae_r2(log: DataFrame, by: Sequence[str] = ()) -> DataFrame:

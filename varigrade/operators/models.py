@@ -46,9 +46,12 @@ def columns_to_vector(df: DataFrame, drop: Sequence[str] = BASELINE_DROP, output
     """Add one sparse vector of all feature columns; the input columns stay.
 
     Numbers are taken as they are (missing ones become ``missing``), categories as one-hot slots, arrays element by
-    element. Columns in ``drop`` are left out.
+    element. Columns in ``drop`` are left out; any other text column is refused.
     """
     fields = [f for f in df.schema.fields if f.name not in drop]
+    unknown = [f.name for f in fields if isinstance(f.dataType, T.StringType) and f.name not in CATEGORIES]
+    if unknown:
+        raise ValueError(f"neither a category nor dropped: {', '.join(unknown)}")
     numbers = [f.name for f in fields if isinstance(f.dataType, (T.NumericType, T.BooleanType))]
     arrays = [f.name for f in fields if isinstance(f.dataType, T.ArrayType)]
     categories = [f.name for f in fields if f.name in CATEGORIES]
@@ -91,12 +94,14 @@ class Learner:
         return train.withColumn("weight", evidence)
 
     def fit(self, train: DataFrame) -> PipelineModel:
-        prepared = self.prepare(train).withColumnRenamed("features", "raw")
+        raw = train.withColumnRenamed("features", "raw")
         if self.scale:
             first = StandardScaler(inputCol="raw", outputCol="features", withMean=self.centre, withStd=True)
         else:
             first = VectorAssembler(inputCols=["raw"], outputCol="features")
-        return Pipeline(stages=[first, self.build(prepared)]).fit(prepared)
+        scaled = Pipeline(stages=[first]).fit(raw)  # mean and deviation of the rows as they are, not as often as repeated
+        prepared = self.prepare(scaled.transform(raw))
+        return PipelineModel([*scaled.stages, self.build(prepared).fit(prepared)])
 
 
 def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-MAX_CLASSES = 1000
-
 
 def scale_columns(train: DataFrame, others: Sequence[DataFrame], columns: Sequence[str],
                   sample: bool = False) -> list[DataFrame]:
@@ -41,33 +40,38 @@ def zscore_target(train: DataFrame, validation: DataFrame, target: str) -> tuple
     return scaled_train, scaled_validation
 
 
-def class_weights(train: DataFrame, label: str) -> dict:
-    """n / (k * n_c) per class of the training part."""
-    rows = train.groupBy(label).agg(F.count(F.lit(1)).alias("n")).limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"{label} has more than {MAX_CLASSES} classes")
-    total = sum(row.n for row in rows)
-    return {row[label]: total / (len(rows) * row.n) for row in rows}
+def class_weights(train: DataFrame, label: str) -> DataFrame:
+    """(class, balanced): n / (k * n_c) per class of the training part; rows without a label are not counted."""
+    counts = train.filter(F.col(label).isNotNull()).groupBy(F.col(label).alias("class")).agg(F.count(F.lit(1)).alias("n"))
+    whole = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).first()  # one row
+    return counts.select("class", (F.lit(whole.n) / (whole.k * F.col("n"))).alias("balanced"))
 
 
 def class_weights_balanced(df: DataFrame, label: str, output: str = "class_weight",
                            weight: Column | None = None) -> DataFrame:
-    """Add the balanced class weight of each row, times its own ``weight`` when given."""
-    pairs = [F.lit(part) for item in class_weights(df, label).items() for part in item]
-    balanced = F.element_at(F.create_map(*pairs), F.col(label))
-    return df.withColumn(output, balanced if weight is None else balanced * weight)
+    """Add the balanced class weight of each row, times its own ``weight`` when given.
+
+    The weights are joined back, however many classes there are; a row without a label gets a null weight.
+    """
+    balanced = class_weights(df, label).select(F.col("class").alias("_class"), F.col("balanced").alias("_balanced"))
+    joined = df.join(balanced, F.col(label) == F.col("_class"), "left")
+    value = F.col("_balanced") if weight is None else F.col("_balanced") * weight
+    return joined.withColumn(output, value).drop("_class", "_balanced")
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str], label: str = "a", other: str = "b") -> DataFrame:
     """(a, b, r) for all ordered pairs of complete numeric columns; r is null where a column is constant.
 
-    The columns are summed up into one small matrix across the tasks (Spark ML), not pair by pair.
+    The columns are summed up into one small matrix across the tasks (Spark ML), not pair by pair. The matrix goes back
+    as one row per column, and the executors take the rows apart into pairs.
     """
     vectors = VectorAssembler(inputCols=list(columns), outputCol="_x").transform(df).select("_x")
     matrix = Correlation.corr(vectors, "_x").first()[0].toArray()
-    rows = [(columns[i], columns[j], None if matrix[i, j] != matrix[i, j] else float(matrix[i, j]))
-            for i in range(len(columns)) for j in range(len(columns))]
-    return df.sparkSession.createDataFrame(rows, f"{label} string, {other} string, r double")
+    held = pa.FixedSizeListArray.from_arrays(pa.array(matrix.ravel()), len(columns)).cast(pa.list_(pa.float64()))
+    lines = df.sparkSession.createDataFrame(pa.table({label: list(columns), "_row": held}))
+    names = df.sparkSession.createDataFrame(pa.table({"_at": pa.array(range(len(columns)), pa.int32()), other: list(columns)}))
+    pairs = lines.select(label, F.posexplode("_row").alias("_place", "_r")).join(names, F.col("_place") == F.col("_at"))
+    return pairs.select(label, other, F.when(~F.isnan("_r"), F.col("_r")).alias("r"))
 
 
 def corr_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:

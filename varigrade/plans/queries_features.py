@@ -9,6 +9,7 @@ from varigrade.functions.notation import FEATURES, mutation_features
 from varigrade.operators import columns, coordinates, encoding, folds
 from varigrade.plans import evaluation, modelling
 from varigrade.plans.registry import STAGES, query
+from varigrade.session import materialize
 
 # The notation once more, as SQL: where the change is (site), what stands behind it (tail), then what the two say.
 _AA = "[A-Z][a-z]{2}"
@@ -199,7 +200,7 @@ def mutation_key(t):
 @query("""SELECT p.variant, p.position, (p.position - l.start_pos + 1) / (l.stop_pos - l.start_pos + 1) AS norm_position,
     (l.stop_pos - l.start_pos + 1) - (p.position - l.start_pos + 1) AS distance_to_end,
     ((p.position - l.start_pos + 1) % 3 + 3) % 3 AS codon_position
-    FROM placed p LEFT JOIN (SELECT * FROM loci WHERE name IN (SELECT gene FROM placed)) l
+    FROM placed p LEFT JOIN (SELECT * FROM loci WHERE name IN (SELECT gene FROM cleaned)) l
     ON lower(p.gene) = lower(l.name)""")
 def gene_coordinates(t):
     rows = t.placed.select("variant", "gene", "position")
@@ -242,7 +243,8 @@ def positioned_features(t):
     SELECT fold, count(*) AS n_groups, CAST(sum(n) AS BIGINT) AS n_rows, max(n) AS largest FROM greedy WHERE i > 0
     GROUP BY fold""")
 def group_kfold(t):
-    keyed = coordinates.mutation_key(t.model.select("gene", "position"))
+    # written once: the group counts and the join back both read it
+    keyed = materialize(coordinates.mutation_key(t.model.select("gene", "position")))
     split = folds.group_kfold(keyed, "mutation_key", 5, missing=coordinates.UNKNOWN_MUTATION)
     sizes = split.groupBy("fold", "mutation_key").agg(F.count(F.lit(1)).alias("n"))
     return sizes.groupBy("fold").agg(F.count(F.lit(1)).alias("n_groups"), F.sum("n").alias("n_rows"),

@@ -34,6 +34,9 @@ STAGES["long_elements"] = """
 STAGES["element_pairs"] = """
     SELECT concat('e', p.i) AS a, concat('e', q.i) AS b, abs(corr(p.x, q.x)) AS r
     FROM long_elements p JOIN long_elements q ON p.vec_id = q.vec_id AND p.i <> q.i GROUP BY p.i, q.i"""
+STAGES["top_features"] = """
+    SELECT a AS feature FROM (SELECT * FROM element_pairs ORDER BY r DESC, a, b LIMIT 40) GROUP BY a
+    ORDER BY max(r) DESC, a LIMIT 20"""
 STAGES["ratios"] = """
     SELECT i AS component, v / sum(v) OVER () AS ratio FROM (SELECT i, var_pop(x) AS v FROM long_elements GROUP BY i)"""
 
@@ -174,9 +177,14 @@ def topk_corr_features(t):
 
 
 @query("""SELECT concat('e', p.i) AS a, concat('e', q.i) AS b, round(corr(p.x, q.x), 6) AS r
-    FROM long_elements p JOIN long_elements q ON p.vec_id = q.vec_id WHERE p.i < 5 AND q.i < 5 GROUP BY p.i, q.i""")
+    FROM long_elements p JOIN long_elements q ON p.vec_id = q.vec_id
+    WHERE concat('e', p.i) IN (SELECT feature FROM top_features) AND concat('e', q.i) IN (SELECT feature FROM top_features)
+    GROUP BY p.i, q.i""")
 def corr_submatrix(t):
-    return statistics.corr_submatrix(elements(t), _ELEMENTS[:5]).withColumn("r", F.round("r", 6))
+    rows = elements(t)
+    top = statistics.topk_corr_features(statistics.corr_pairs(rows, _ELEMENTS))
+    names = [row.feature for row in top.collect()]  # at most ``features_kept``
+    return statistics.corr_submatrix(rows, names).withColumn("r", F.round("r", 6))
 
 
 @query("""SELECT CAST(component AS INTEGER) AS component, round(ratio, 6) AS ratio, round(upto, 6) AS cumulative,

@@ -64,11 +64,18 @@ def cache_table(t):
     return sinks.cache_table(t.spark, path, lambda: aggregates.agg_variant_mic(t.measured))
 
 
-@query()
+@query("""SELECT concat('nation-', n_nationkey) AS name, CASE WHEN n_nationkey % 5 = 4 THEN 'missing'
+    WHEN n_nationkey % 5 = 3 THEN 'mismatch' ELSE 'ok' END AS status FROM nation""")
 def verify_manifest(t):
-    files = readers.file_checksums(t.spark, t.sf_dir)
-    manifest = files.withColumnRenamed("actual", "md5").unionByName(readers.release_manifest(t.spark))
-    return readers.verify_manifest(t.spark, t.sf_dir, manifest)
+    """One file per nation, each holding its name, against a manifest worked out from the names."""
+    path = t.scratch("release")
+    nations = t["nation"].select(F.concat(F.lit("nation-"), "n_nationkey").alias("name"), "n_name", "n_nationkey")
+    (nations.filter("n_nationkey % 5 <> 4").selectExpr("name AS file", "n_name").repartition("file")
+     .write.partitionBy("file").text(path))
+    held = F.when(F.col("n_nationkey") % 5 == 3, "another").otherwise(F.concat("n_name", F.lit("\n")))
+    manifest = nations.select("name", F.md5(held.cast("binary")).alias("md5"))
+    found = readers.file_checksums(t.spark, path, name=F.regexp_extract("path", "file=([^/]+)/", 1))
+    return readers.compare_checksums(manifest, found)
 
 
 # columns

@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyarrow.fs import FileSystem
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -43,7 +43,6 @@ RELEASE_MD5 = {
     "DATA_SCHEMA.pdf": "8b11bfbb9255da6dfc1b8b7aede767d0",
     "RELEASE_NOTES.md": "dfac1d2007ad30bb749f7bb3bcb9645b",
 }
-WHOLE_FILE_LIMIT = 64 << 20
 STREAM_CHUNK = 8 << 20
 DEFAULT_FILES = ("MUTATIONS.parquet", "UKMYC_PHENOTYPES.parquet", "DRUG_CODES.csv.gz")
 
@@ -115,20 +114,24 @@ def _stream_md5(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"path": batch["path"], "actual": digests})
 
 
-def file_checksums(spark: SparkSession, folder: str) -> DataFrame:
-    """(name, actual): the MD5 of every file below ``folder``, files spread over the tasks.
+def file_checksums(spark: SparkSession, folder: str, name: Column | None = None) -> DataFrame:
+    """(name, actual): the MD5 of every file below ``folder``, files spread over the tasks, each read in chunks.
 
-    Files up to ``WHOLE_FILE_LIMIT`` are hashed as one value; larger ones, which no row can hold, are streamed.
+    The name is the file's own, or what ``name`` makes of its ``path``.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    small = files.filter(F.col("length") <= WHOLE_FILE_LIMIT).select("path", F.md5("content").alias("actual"))
-    large = files.filter(F.col("length") > WHOLE_FILE_LIMIT).select("path")
-    streamed = large.mapInPandas(_stream_md5, "path string, actual string")
-    return small.unionByName(streamed).select(F.element_at(F.split("path", "/"), -1).alias("name"), "actual")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path")
+    streamed = files.mapInPandas(_stream_md5, "path string, actual string")
+    own = F.element_at(F.split("path", "/"), -1)
+    return streamed.select((own if name is None else name).alias("name"), "actual")
 
 
-def verify_manifest(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
+def compare_checksums(manifest: DataFrame, found: DataFrame) -> DataFrame:
     """(name, status): ``ok``, ``mismatch`` or ``missing`` for each manifest row."""
     status = (F.when(F.col("actual").isNull(), "missing")
               .when(F.col("actual") == F.col("md5"), "ok").otherwise("mismatch"))
-    return manifest.join(file_checksums(spark, folder), "name", "left").select("name", status.alias("status"))
+    return manifest.join(found, "name", "left").select("name", status.alias("status"))
+
+
+def verify_manifest(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
+    """``compare_checksums`` of the manifest and the files below ``folder``."""
+    return compare_checksums(manifest, file_checksums(spark, folder))
