@@ -109,12 +109,14 @@ def encode_model_table(table: DataFrame, descriptors: DataFrame | None = None) -
     """(encoded rows, drug lookup): grade codes, parsed notation, drug descriptors and drug codes.
 
     Categories stay single columns (see ``one_hot`` and ``one_hot_vectors``). The parsed position is named
-    ``mutation_position``, so the genomic ``position`` keeps its meaning.
+    ``mutation_position``, so the genomic ``position`` keeps its meaning. With descriptors, ``has_descriptor`` tells
+    drugs that have them from drugs whose descriptor columns are null.
     """
     graded = encode_grade(table).withColumns({"gene": strip(F.col("gene")), "mutation": strip(F.col("mutation"))})
     parsed = parse_mutation(graded).drop("mutation", "variant", "chromosome")
     if descriptors is not None:
-        parsed = join_drug_descriptors(parsed, descriptors)
+        known = descriptors.withColumn("has_descriptor", F.lit(1))
+        parsed = join_drug_descriptors(parsed, known).withColumn("has_descriptor", F.coalesce("has_descriptor", F.lit(0)))
     coded, lookup = category_codes(parsed, "drug", "drug_code")
     return coded.drop("drug").withColumnRenamed("drug_code", "drug"), lookup
 

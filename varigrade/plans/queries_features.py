@@ -68,8 +68,10 @@ STAGES["clean_rows"] = """
         r.one AS ref, a.one AS alt, coalesce(i.id, -1) AS drug, CAST(coalesce(length(g.reference_nucleotide), 3) AS INTEGER) AS ref_len,
         CAST(coalesce(length(g.alternative_nucleotide), 3) AS INTEGER) AS alt_len,
         CASE WHEN length(g.reference_nucleotide) = 1 THEN g.reference_nucleotide ELSE 'LONG' END AS ref_base,
-        CASE WHEN length(g.alternative_nucleotide) = 1 THEN g.alternative_nucleotide ELSE 'LONG' END AS alt_base
+        CASE WHEN length(g.alternative_nucleotide) = 1 THEN g.alternative_nucleotide ELSE 'LONG' END AS alt_base,
+        d.embedding[1] AS e_first, d.embedding[64] AS e_last, CASE WHEN d.drug IS NULL THEN 0 ELSE 1 END AS has_descriptor
     FROM graded g LEFT JOIN drug_ids i ON g.drug = i.drug LEFT JOIN common_genes k ON g.gene = k.gene
+    LEFT JOIN descriptors d ON g.drug = d.drug
     LEFT JOIN aa r ON r.three = substr(mutation, 3, 3) LEFT JOIN aa a ON a.three = right(mutation, 3)"""
 STAGES["grouped"] = """
     SELECT *, CASE WHEN position IS NULL THEN 'unknown_mutation'
@@ -209,9 +211,15 @@ def gene_coordinates(t):
 
 # feature tables
 
+def _ends(features):
+    """The descriptor's ends in place of the array, which the SQL check compares as plain numbers."""
+    ends = {"e_first": F.get("embedding", F.lit(0)), "e_last": F.get("embedding", F.lit(63))}
+    return features.withColumns(ends).drop("embedding")
+
+
 @query("SELECT * FROM clean_rows")
 def clean_features(t):
-    return evaluation.feature_tables(t.model, t["loci"])[0]
+    return _ends(evaluation.feature_tables(t.model, t["loci"], t["descriptors"])[0])
 
 
 @query("""SELECT c.*, CASE WHEN c.position IS NOT NULL THEN
@@ -222,7 +230,7 @@ def clean_features(t):
     FROM clean_rows c LEFT JOIN (SELECT * FROM loci WHERE name IN (SELECT gene FROM clean_rows)) l
     ON lower(c.gene) = lower(l.name)""")
 def positioned_features(t):
-    return evaluation.feature_tables(t.model, t["loci"])[1]
+    return _ends(evaluation.feature_tables(t.model, t["loci"], t["descriptors"])[1])
 
 
 # splits

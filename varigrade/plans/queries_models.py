@@ -1,4 +1,8 @@
-"""Queries that fit models on whole tables. Sizes (trees, iterations) are kept small here; results are not SQL."""
+"""Queries that fit models on whole tables; results are not SQL.
+
+Regressions, components and the measurement model run at the library's sizes. Forests, boosters and the perceptron are
+fitted with fewer trees and iterations than the library's defaults here.
+"""
 
 from __future__ import annotations
 
@@ -20,7 +24,7 @@ STAGES["quality_rows"] = """
 
 
 def _features(t: Tables):
-    return evaluation.feature_tables(t.model, t["loci"])
+    return evaluation.feature_tables(t.model, t["loci"], t["descriptors"])
 
 
 def _grouped(t: Tables):
@@ -86,7 +90,7 @@ def rf_classify(t):
 
 @query()
 def logreg_classify(t):
-    log = models.grouped_cv(_grouped(t), [models.logreg_classify(iterations=20)], "ppv_bin")
+    log = models.grouped_cv(_grouped(t), [models.logreg_classify()], "ppv_bin")
     return metrics.classification_report(log, ["fold"])
 
 
@@ -96,7 +100,7 @@ def pca_logreg(t):
     rows = evaluation.holdout_rows(clean)
     codes = [r.id for r in lookup.filter(F.col("value").isin(list(models.HELD_OUT_DRUGS))).collect()]
     train, test = models.isin_split(rows, "drug", codes)
-    return metrics.confusion_matrix_norm(models.pca_logreg(train, test, iterations=20))
+    return metrics.confusion_matrix_norm(models.pca_logreg(train, test))
 
 
 @query()
@@ -121,7 +125,7 @@ def boost_classify(t):
 @query()
 def mic_embedding_regress(t):
     ids, _ = evaluation.encoded_measurements(t["mutations"], t["phenotypes"], t["drug_codes"])
-    return evaluation.fit_measurements(ids, iterations=15)[1]
+    return evaluation.fit_measurements(ids)[1]
 
 
 @query("""SELECT m.uniqueid, coalesce(g.id, 0) AS gene_id, coalesce(n.id, 0) AS pos_id,
@@ -140,7 +144,7 @@ def encoded_measurements(t):
 
 @query()
 def grouped_cv(t):
-    return models.grouped_cv(_grouped(t), [models.logreg_classify(iterations=10)], "ppv_bin")
+    return models.grouped_cv(_grouped(t), [models.logreg_classify()], "ppv_bin")
 
 
 @query("""SELECT CASE WHEN ppv >= 0.8 THEN 3 WHEN ppv >= 0.6 THEN 2 WHEN ppv >= 0.2 THEN 1 ELSE 0 END AS actual,
@@ -149,14 +153,14 @@ def grouped_cv(t):
     UNION ALL SELECT CASE WHEN ppv >= 0.8 THEN 3 WHEN ppv >= 0.6 THEN 2 WHEN ppv >= 0.2 THEN 1 ELSE 0 END,
     'unknown_mutation', count(*) FROM clean_rows WHERE position IS NULL GROUP BY ALL""")
 def prediction_log(t):
-    log = models.grouped_cv(_grouped(t), [models.logreg_classify(iterations=5)], "ppv_bin")
+    log = models.grouped_cv(_grouped(t), [models.logreg_classify()], "ppv_bin")
     return log.groupBy("actual", F.col("mutation").alias("key")).agg(F.count("predicted").alias("n"))
 
 
 @query()
 def drug_holdout_eval(t):
     clean, _, lookup = _features(t)
-    learner = models.logreg_classify(c=1.0, weighting="balanced", iterations=20)
+    learner = models.logreg_classify(c=1.0, weighting="balanced")
     return metrics.classification_report(models.drug_holdout_eval(evaluation.holdout_rows(clean), lookup, learner))
 
 
@@ -165,7 +169,7 @@ def save_load_model(t):
     rows = models.labelled(_grouped(t), "ppv_bin")
     path = t.scratch("model")
     vocabulary = rows.select(F.col("mutation_key").alias("value")).distinct()
-    sinks.save_model(models.logreg_classify(iterations=5).fit(rows), {"mutation": vocabulary}, path)
+    sinks.save_model(models.logreg_classify().fit(rows), {"mutation": vocabulary}, path)
     model, saved = sinks.load_model(t.spark, path, ("mutation",))
     predicted = models.predict(model, rows).groupBy("mutation_key").agg(F.avg("prediction").alias("mean_prediction"))
     return predicted.join(saved["mutation"].withColumnRenamed("value", "mutation_key"), "mutation_key")
