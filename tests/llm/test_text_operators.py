@@ -176,6 +176,20 @@ def test_toxicity_misspelled_quoted_and_awkward(spark):
     assert toxicity.score_toxicity(make(spark, ["a"]).filter("false"), model).count() == 0
 
 
+def test_toxicity_meets_misspellings_under_a_beginning(spark):
+    """Every ending of a family, misspelled in its beginning; an ordinary near word spares itself, not its term."""
+    endings = ["ant", "ost", "um", "ike", "eel", "orf"]
+    docs = [f"fine harmless words number {k}" for k in range(300)] + ["gravoxant " * 400 + "was seen"] + [
+        f"{k}th{end} dravox{end} of{k}" for end in endings for k in range(20)]
+    labels = spark.createDataFrame([(k, int(k > 300)) for k in range(len(docs))], "doc_id long, toxic int")
+    model = toxicity.train(make(spark, docs), labels, F.lit(True))
+    assert [t for t, (_, stem) in model.terms.items() if stem and t.startswith("drav")]
+    assert {"dravox" + e for e in endings} <= set(model.terms)
+    tests = ["dr4vox" + e for e in [*endings, "unheard"]] + ["gravoxant", "gravoxum", "harmless"]
+    hits = {r.doc_id: r.hits for r in toxicity.score_toxicity(make(spark, tests), model).collect()}
+    assert [hits[k] for k in range(len(tests))] == [1] * 7 + [0] * 3
+
+
 # --- quality -----------------------------------------------------------------------------------------------------
 
 def test_quality_orders_grades_on_held_out_rows(spark):

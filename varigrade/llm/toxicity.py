@@ -4,8 +4,10 @@
   higher in toxic texts.
 * The terms form a trie. Levenshtein automata of all terms run over it together: the state after some letters of a word is the
   set of (trie node, edits) still within a term's edit bound. States are made once and kept, so a word costs one
-  look-up per letter and most words die after a few. Long terms allow two edits, short ones none.
-* Terms whose misspellings are ordinary words (they turn up in clean labelled texts) are matched exactly only.
+  look-up per letter and most words die after a few. Long terms and beginnings allow two edits, short ones none. Words
+  under a beginning stay terms of their own.
+* A near word is ordinary, and no hit, if it turns up in clean labelled texts or if every letter sequence that it has and
+  the term lacks is one of theirs. The term keeps its edits.
 * A window around each hit tells quotation (quote marks or words of reporting) from abuse. Hits count by kind (exact or
   misspelled, abuse or quotation) in a logistic score, fitted around prior weights so that kinds the labels never show keep them.
 """
@@ -28,6 +30,8 @@ from varigrade.llm.common import bounded_sample, keep_rows, slices
 TRAIN_DOCS = 12_000
 CONTEXT = 6
 SHORTEST_STEM, LONGEST_STEM = 4, 9
+#: Letters of a sequence that tells ordinary words from misspellings.
+GRAM = 5
 #: A term's rate in toxic texts over its rate in clean ones; the different toxic texts it must occur in, and their share.
 LEAST_RATIO, LEAST_DOCS, LEAST_SHARE = 25.0, 4, 0.005
 #: A word remembers its verdict until so many are held; bounds a worker's memory.
@@ -43,9 +47,9 @@ PRIOR = np.array([-3.0, 5.0, 3.5, 1.0, 0.5])
 PRIOR_SPREAD = np.array([0.02, 1.5, 1.0, 1.0, 1.0])
 
 
-def edits_for(term: str, stem: bool) -> int:
-    """Edits that a misspelling may have."""
-    if stem or len(term) < 5:
+def edits_for(term: str) -> int:
+    """Edits that a misspelling of a word or a beginning may have."""
+    if len(term) < 5:
         return 0
     return 2 if len(term) >= 9 else 1
 
@@ -104,7 +108,7 @@ class Automaton:
     def _step(self, state: int, letter: str) -> int:
         held = set()
         for node, edits in self.sets[state]:
-            if self.stem[node]:
+            if self.stem[node] and edits <= self.terms[self.ends[node]][0]:
                 held.add((node, edits))
             for c, kid in self.children[node].items():
                 cost = edits + (c != letter)
@@ -140,11 +144,38 @@ def quoted(words: list[str], at: int) -> bool:
     return bool(before and after)
 
 
+def grams(word: str) -> set[int]:
+    """Hashes of the letter sequences of a word with its bounds."""
+    word = f"^{word}$"
+    return {zlib.crc32(word[k: k + GRAM].encode("utf-8", "replace")) for k in range(max(1, len(word) - GRAM + 1))}
+
+
+class Ordinary:
+    """Whether a word near a term is no misspelling of it."""
+
+    def __init__(self, terms: dict[str, tuple[int, bool]], benign: frozenset = frozenset(), known: np.ndarray | None = None):
+        """``benign``: near words of clean texts; ``known``: the sorted letter sequences of all words of clean texts."""
+        self.terms, self.benign = terms, benign
+        self.known = np.zeros(0, np.int64) if known is None else known
+
+    def __call__(self, term: str, word: str) -> bool:
+        if word in self.benign:
+            return True
+        new = grams(word)
+        if self.terms[term][1]:  # an ending says nothing about the beginning
+            new = grams(word[: len(term)]) - {zlib.crc32(f"^{word[: len(term)]}$"[-GRAM:].encode("utf-8", "replace"))}
+        new = np.array(sorted(new - grams(term)), np.int64)
+        if not len(new) or not len(self.known):
+            return False
+        at = np.minimum(np.searchsorted(self.known, new), len(self.known) - 1)
+        return bool((self.known[at] == new).all())
+
+
 class Finder:
-    """Hits of whole texts; remembers words that are no hits."""
+    """Hits of whole texts; remembers words that are no hits. Words that are ``ordinary`` are met by exact terms only."""
 
-    def __init__(self, terms: dict[str, tuple[int, bool]]):
-        self.automaton = Automaton(terms)
+    def __init__(self, terms: dict[str, tuple[int, bool]], ordinary: Ordinary | None = None):
+        self.automaton, self.ordinary = Automaton(terms), ordinary
         self.clean: set[str] = set()
         self.known: dict[str, tuple[str, int]] = {}
 
@@ -160,7 +191,7 @@ class Finder:
                 continue
             core = _EDGE.sub("", w)
             hit = self.automaton.match(core) if core else None
-            if hit:
+            if hit and not (hit[1] and self.ordinary and self.ordinary(hit[0], core)):
                 self.known[w], found = hit, True
             else:
                 self.clean.add(w)
@@ -260,17 +291,31 @@ def learn_terms(sample: DataFrame) -> dict[str, bool]:
         while longer := [s for s in stems if s[:-1] == stem and stems[s] >= 0.95 * stems[stem]]:
             stem = longer[0]
         chosen[stem] = True
-    return chosen | {w: False for w in whole if not any(w.startswith(s) for s in chosen)}
+    return {w: False for w in whole} | chosen
+
+
+def _clean_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The letter sequences of all words of clean texts."""
+    words: set[str] = set()
+    found: set[int] = set()
+    for batch in slices(batches):
+        for text in batch.column(0).to_pylist():
+            fresh = {_EDGE.sub("", w) for w in (text or "").lower().split()} - words - {""}
+            found.update(*map(grams, fresh))
+            words |= fresh
+            if len(words) > REMEMBERED:
+                words.clear()
+    yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.int64())], ["gram"])
 
 
 class Model:
-    """Terms with their edits, words that look like misspellings but aren't, and the weights."""
+    """Terms with their edits, what looks like a misspelling but isn't, and the weights."""
 
-    def __init__(self, terms: dict[str, tuple[int, bool]], benign: frozenset, weights: np.ndarray):
-        self.terms, self.benign, self.weights = terms, benign, weights
+    def __init__(self, terms: dict[str, tuple[int, bool]], ordinary: Ordinary, weights: np.ndarray):
+        self.terms, self.ordinary, self.weights = terms, ordinary, weights
 
     def score(self, hits: list[tuple[str, str, int, bool]]) -> float:
-        kept = [h for h in hits if not (h[2] and h[1] in self.benign)]
+        kept = [h for h in hits if not (h[2] and self.ordinary(h[0], h[1]))]
         return float(sigmoid(features(kept) @ self.weights))
 
 
@@ -283,7 +328,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, key: str = "doc_id
         F.broadcast(rated), F.col("_doc") == F.col(key)).select("text", "toxic").persist()
     try:
         learned = learn_terms(sample)
-        terms = {t: (edits_for(t, stem), stem) for t, stem in learned.items()}
+        terms = {t: (edits_for(t), stem) for t, stem in learned.items()}
 
         def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             finder = Finder(terms)
@@ -301,22 +346,22 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, key: str = "doc_id
 
         found = sample.mapInArrow(collect, "toxic int, term string, word string, edits int, quotation boolean, doc long"
                                   ).withColumn("part", F.spark_partition_id()).toArrow().to_pylist()
+        # bounded by the bounded sample
+        known = sample.filter("toxic = 0").select("text").mapInArrow(_clean_grams, "gram long").distinct().toArrow()
     finally:
         sample.unpersist()
-    clean_docs = len({(r["part"], r["doc"]) for r in found if not r["toxic"]})
-    ordinary = Counter(r["term"] for r in found if r["term"] and r["edits"] and not r["toxic"])
     benign = frozenset(r["word"] for r in found if r["term"] and r["edits"] and not r["toxic"])
-    terms = {t: (0 if ordinary[t] > max(1, 5e-4 * clean_docs) else edits, stem) for t, (edits, stem) in terms.items()}
+    ordinary = Ordinary(terms, benign, np.sort(known.column(0).to_numpy()))
     by_doc: dict[tuple, list] = {}
     for r in found:
         hits = by_doc.setdefault((r["part"], r["doc"], r["toxic"]), [])
-        if r["term"] and r["edits"] <= terms[r["term"]][0] and not (r["edits"] and r["word"] in benign):
+        if r["term"] and not (r["edits"] and ordinary(r["term"], r["word"])):
             hits.append((r["term"], r["word"], r["edits"], r["quotation"]))
     if not by_doc:
-        return Model(terms, benign, PRIOR)
+        return Model(terms, ordinary, PRIOR)
     kinds = Counter((*features(h), k[2]) for k, h in by_doc.items())
     table = np.array([k for k, n in sorted(kinds.items()) for _ in range(n)])
-    return Model(terms, benign, fit_weights(table[:, :-1], table[:, -1]))
+    return Model(terms, ordinary, fit_weights(table[:, :-1], table[:, -1]))
 
 
 def score_toxicity(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -328,7 +373,7 @@ def score_toxicity(docs: DataFrame, model: Model, key: str = "doc_id", text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("hits", pa.int64())])
-        finder = Finder(shared.value.terms)
+        finder = Finder(shared.value.terms, shared.value.ordinary)
         for batch in slices(batches):
             hits = [finder.hits(t) if t else [] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -346,4 +391,4 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.7, text: str
     def judge(columns: list[pa.Array], finder: Finder) -> list[bool]:
         return [shared.value.score(finder.hits(t)) < threshold if t else True for t in columns[0].to_pylist()]
 
-    return keep_rows(docs, judge, [text], lambda: Finder(shared.value.terms))
+    return keep_rows(docs, judge, [text], lambda: Finder(shared.value.terms, shared.value.ordinary))
