@@ -190,6 +190,16 @@ def test_toxicity_meets_misspellings_under_a_beginning(spark):
     assert [hits[k] for k in range(len(tests))] == [1] * 7 + [0] * 3
 
 
+def test_one_misspelled_term_is_enough(spark):
+    docs = [f"fine words number {k}" for k in range(60)] + [f"you worthless scum {k}" for k in range(30)]
+    labels = spark.createDataFrame([(k, int(k >= 60)) for k in range(90)], "doc_id long, toxic int")
+    model = toxicity.train(make(spark, docs), labels, F.lit(True))
+    tests = ["what a wortless thing", "so worthles", 'they said "wortless" in a report', "fine words"]
+    rows = toxicity.score_toxicity(make(spark, tests), model).orderBy("doc_id").collect()
+    assert [r.score >= 0.7 for r in rows] == [True, True, False, False]
+    assert [r.doc_id for r in toxicity.drop_toxic(make(spark, tests), model).orderBy("doc_id").collect()] == [2, 3]
+
+
 # --- quality -----------------------------------------------------------------------------------------------------
 
 def test_quality_orders_grades_on_held_out_rows(spark):
