@@ -251,6 +251,43 @@ def test_passages_within_the_edit_budget_are_found(spark):
     assert decontaminate.find_contamination(make(spark, texts).filter("false"), benchmark).count() == 0
 
 
+def test_any_quoted_window_and_short_items_are_found():
+    """Against a brute force over all word windows: parts that begin anywhere, and items of one word on."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(300)]
+    items = [[rng.choice(words) for _ in range(n)] for n in (40, 23, 16, 15, 8, 7, 3, 1)]
+    matcher, found = decontaminate.Matcher([(k, " ".join(w)) for k, w in enumerate(items)], decontaminate.RATE), 0
+
+    def least(pattern, text):
+        row = [0] * (len(text) + 1)
+        for i, c in enumerate(pattern, 1):
+            new = [i]
+            for j, d in enumerate(text, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != d)))
+            row = new
+        return min(row)
+
+    for k, item in enumerate(items):
+        for size in {1, 3, 7, 8, 15, 16, 17, 20, 22, len(item)}:
+            for at in rng.sample(range(max(0, len(item) - size) + 1), min(3, max(0, len(item) - size) + 1)):
+                part = list(" ".join(item[at: at + size]))
+                for _ in range(rng.randrange(5)):
+                    part[rng.randrange(len(part))] = rng.choice("xyz")
+                text = f"xlead {''.join(part)} xtail"
+                expected = set()
+                for i, w in enumerate(items):
+                    if len(w) < 8:
+                        if f" {' '.join(w)} " in f" {text} ":
+                            expected.add(i)
+                    elif any(least(p, text) <= max(1, int(len(p) * decontaminate.RATE)) for p in
+                             (" ".join(w[s: s + 16]) for s in range(max(1, len(w) - 15)))):
+                        expected.add(i)
+                assert {m[0] for m in matcher.matches(text)} == expected, (k, size, at)
+                found += len(expected)
+    assert found >= 30
+    assert not list(matcher.matches(f"x{' '.join(items[6])}")) or items[7][0] in items[6]
+
+
 def test_large_benchmarks_take_several_walks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "MOST_CHARS", 60)
     items = [" ".join(f"{a}{k}" for k in range(12)) for a in ("north", "south", "east")]
