@@ -5,6 +5,8 @@ import os
 
 import pytest
 
+from varigrade.plans import queries_tables
+from varigrade.plans.catalog import QUERIES
 from varigrade.sources import readers, sinks
 
 
@@ -22,6 +24,25 @@ def test_manifest(spark, tmp_path, monkeypatch):
     assert dict(readers.verify_manifest(spark, str(tmp_path), manifest).collect()) == expected
 
 
+def test_manifest_query_checks_all_documents(spark, sf_dir, monkeypatch):
+    """All texts lie in the checked files, more files come with more documents, and files take several chunks."""
+    folders, check = [], readers.file_checksums
+
+    def watched(session, folder, **more):
+        folders.append(folder)
+        return check(session, folder, **more)
+
+    monkeypatch.setattr(readers, "file_checksums", watched)
+    monkeypatch.setattr(queries_tables, "PART_DOCS", 2)
+    rows = dict(QUERIES["verify_manifest"](spark, sf_dir).collect())
+    assert rows == {f"nation-{k}": {4: "missing", 3: "mismatch"}.get(k % 5, "ok") for k in range(25)}
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folders[0]).select("path", "length").collect()
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    lost = "pmod(doc_id, 25) % 5 = 4 and doc_id < 50"
+    held = docs.filter(f"not ({lost})").selectExpr("sum(octet_length(text)) n").first().n
+    assert held <= sum(f.length for f in files) <= held + docs.count() + 1000 and len(files) > 25
+
+
 def test_choose_files():
     assert readers.choose_files() == list(readers.DEFAULT_FILES)
     assert readers.choose_files(["MUT", "UKMYC_PLATES.parquet"]) == ["MUTATIONS.parquet", "UKMYC_PLATES.parquet"]

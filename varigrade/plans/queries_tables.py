@@ -13,6 +13,10 @@ from varigrade.plans.registry import query
 from varigrade.sources import readers, sinks
 
 
+#: Documents of one file that ``verify_manifest`` checks.
+PART_DOCS = 4_000
+
+
 # scans and sinks
 
 @query("SELECT l_orderkey, l_quantity, l_returnflag FROM lineitem WHERE l_quantity >= 40")
@@ -67,15 +71,29 @@ def cache_table(t):
 @query("""SELECT concat('nation-', n_nationkey) AS name, CASE WHEN n_nationkey % 5 = 4 THEN 'missing'
     WHEN n_nationkey % 5 = 3 THEN 'mismatch' ELSE 'ok' END AS status FROM nation""")
 def verify_manifest(t):
-    """One file per nation, each holding its name, against a manifest worked out from the names."""
+    """Files of all documents' texts, some for each nation, against a manifest worked out from the rows.
+
+    A nation takes every 25th id, a file ``PART_DOCS`` documents of it and the first file the nation's name as its last line.
+    Of some nations one file is not written, or its last line is another.
+    """
     path = t.scratch("release")
-    nations = t["nation"].select(F.concat(F.lit("nation-"), "n_nationkey").alias("name"), "n_name", "n_nationkey")
-    (nations.filter("n_nationkey % 5 <> 4").selectExpr("name AS file", "n_name").repartition("file")
-     .write.partitionBy("file").text(path))
-    held = F.when(F.col("n_nationkey") % 5 == 3, "another").otherwise(F.concat("n_name", F.lit("\n")))
-    manifest = nations.select("name", F.md5(held.cast("binary")).alias("md5"))
-    found = readers.file_checksums(t.spark, path, name=F.regexp_extract("path", "file=([^/]+)/", 1))
-    return readers.compare_checksums(manifest, found)
+    nation = F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(25))
+    docs = t["documents"].select(
+        nation.cast("int").alias("nation"), F.coalesce(F.floor(F.col("doc_id") / (25 * PART_DOCS)), F.lit(0)).cast("int").alias("part"),
+        F.lit(0).alias("last"), "doc_id", F.coalesce("text", F.lit("")).alias("line"))
+    names = t["nation"].select(F.col("n_nationkey").cast("int").alias("nation"), F.lit(0).alias("part"), F.lit(1).alias("last"),
+                               F.lit(None).cast("long").alias("doc_id"), F.col("n_name").alias("line"))
+    order = ["nation", "part", "last", "doc_id", "line"]
+    rows = docs.unionByName(names).repartition("nation", "part").sortWithinPartitions(*order)
+    (rows.filter("nation % 5 <> 4 or part <> 0").select("nation", "part", "line").write.partitionBy("nation", "part").text(path))
+    held = F.when((F.col("nation") % 5 == 3) & (F.col("last") == 1), "another").otherwise(F.col("line"))
+    manifest = rows.select(F.concat_ws("/", "nation", "part").alias("name"), held.alias("line")).mapInArrow(
+        readers.line_md5, "name string, md5 string")
+    name = F.concat_ws("/", F.regexp_extract("path", "nation=([^/]+)/", 1), F.regexp_extract("path", "part=([^/]+)/", 1))
+    checked = readers.compare_checksums(manifest, readers.file_checksums(t.spark, path, name=name))
+    worst = F.max(F.when(F.col("status") == "missing", 2).when(F.col("status") == "mismatch", 1).otherwise(0))
+    return checked.groupBy(F.concat(F.lit("nation-"), F.split("name", "/")[0]).alias("name")).agg(
+        F.element_at(F.array(*map(F.lit, ("ok", "mismatch", "missing"))), worst + 1).alias("status"))
 
 
 # columns

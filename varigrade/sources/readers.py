@@ -6,6 +6,7 @@ import hashlib
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -125,6 +126,22 @@ def file_checksums(spark: SparkSession, folder: str, name: Column | None = None)
     return streamed.select((own if name is None else name).alias("name"), "actual")
 
 
+def line_md5(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(name, md5) of text files from their (name, line) rows, which come file by file and in order."""
+    held, digest, found = None, None, []
+    for batch in batches:
+        for name, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if name != held:
+                if digest:
+                    found.append((held, digest.hexdigest()))
+                held, digest = name, hashlib.md5()
+            digest.update(line.encode())
+            digest.update(b"\n")
+    if digest:
+        found.append((held, digest.hexdigest()))
+    yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.string()) for k in (0, 1)], ["name", "md5"])
+
+
 def compare_checksums(manifest: DataFrame, found: DataFrame) -> DataFrame:
     """(name, status): ``ok``, ``mismatch`` or ``missing`` for each manifest row."""
     status = (F.when(F.col("actual").isNull(), "missing")
