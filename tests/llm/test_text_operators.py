@@ -451,6 +451,28 @@ def test_main_text_of_given_and_new_layouts(spark, sf_dir):
     assert exact / len(rows) > 0.7
 
 
+def test_unclosed_and_drawn_elements_hide_no_article(spark, sf_dir, monkeypatch):
+    def shown(source):
+        page = html_extract.Page(source)
+        return page.text(np.ones(len(page.tags), bool))
+
+    tail = "<article><p>main text</p></article>"
+    for head in ("<svg class=icon/>", "<math/>", "<svg><path d='M0'/><use href=x /></svg>", "<svg><title/><g>",
+                 "<div><video src=x></div>", "<div><canvas></div>", "<div><audio></div>", "<div><object></div>",
+                 "<div><select><option>one</div>", "<ul><li><noscript>no<li></ul>"):
+        assert shown(f"<html><body><header>{head}</header>{tail}") == "main text", head
+    assert shown("<p>for <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds") == "for x=2 holds"
+    assert shown("<object>fallback</object><script>a</script><style>b</style><title>c</title><p>d") == "fallback d"
+
+    rows = table(spark, sf_dir, "pages").limit(20).collect()
+    icon = [r.html.replace("<body", "<header><svg class=icon/></header><body", 1) for r in rows]
+    extractor = html_extract.fit([r.html for r in rows])
+    assert extractor.extract(icon) == extractor.extract([r.html for r in rows])
+    pages = [(k, f"<div><p>unnamed {k}</p></div>") for k in range(300)] + [(1000 + k, r.html) for k, r in enumerate(rows[:4])]
+    frame = spark.createDataFrame(pages, "page_id long, html string")
+    assert html_extract.train(frame, rows=4).trees is not None
+
+
 def test_main_text_of_awkward_pages(spark):
     pages = ["<article>a <b>b</b>c&amp;<script>x</script> d", "<p", "<!-- <article>x</article>", None, "", "plain",
              "<nav>" * 3000 + "deep", "<a class='>' title=\"<p>\">t</a>", "<article>" + "w " * 200000 + "</article>"]

@@ -34,7 +34,12 @@ _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
                   r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[a-zA-Z/][^<>]*\Z", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PIECE = re.compile(r"[a-z]+")
-_HIDDEN = frozenset("script style noscript template title iframe svg math object textarea select canvas audio video".split())
+#: Their content is no markup and ends at their closing tag only.
+_RAW = frozenset("script style title iframe textarea".split())
+#: Nodes whose text is not shown; they end with their parent at the latest.
+_UNSHOWN = frozenset("head noscript template select".split())
+#: Inside these ``/>`` closes a tag; their text belongs to the block around them.
+_FOREIGN = frozenset(("svg", "math"))
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("""a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s
     samp small span strike strong sub sup time tt u var""".split())
@@ -43,7 +48,10 @@ _CLOSES_P = frozenset("""address article aside blockquote details dialog div dl
 _SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
          "th": ("td", "th")}
 _LISTS = frozenset("ul ol dl table menu".split())
-_ENDS = {name: re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I) for name in _HIDDEN}
+_ENDS = {name: re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I) for name in _RAW}
+#: Tags that end an unclosed drawing or formula.
+_LEAVES_FOREIGN = _CLOSES_P | frozenset("body dd dt img li span".split())
+_COMMENTS, _ARTICLE, _MAIN = r"(?s)<!--.*?-->|<script.*?</script>", r"(?i)<article[\s>]", r"(?i)<main[\s>]"
 
 
 class Page:
@@ -57,7 +65,7 @@ class Page:
 
     def _read(self, source: str) -> None:
         stack: list[tuple[str, int]] = [("#page", 0)]  # (tag, its block)
-        links, hidden, at, end = 0, 0, 0, len(source)
+        links, hidden, foreign, at, end = 0, 0, 0, 0, len(source)
         while at < end:
             tag = _TAG.search(source, at)
             stop = tag.start() if tag else end
@@ -82,8 +90,9 @@ class Page:
                     continue
                 for gone, block in stack[depth:]:
                     links -= gone == "a"
-                    hidden -= gone == "head"
-                    if gone not in _INLINE:
+                    hidden -= gone in _UNSHOWN
+                    foreign -= gone in _FOREIGN
+                    if gone not in _INLINE and block != stack[depth - 1][1]:
                         self.pieces.append((self.parent[block], " "))
                 del stack[depth:]
                 continue
@@ -93,7 +102,15 @@ class Page:
                 elif name == "input":
                     self.inputs[stack[-1][1]] += 1
                 continue
-            if name in _HIDDEN:
+            if foreign and name in _LEAVES_FOREIGN:
+                depth = next(k for k, (t, _) in enumerate(stack) if t in _FOREIGN)
+                links -= sum(t == "a" for t, _ in stack[depth:])
+                hidden -= sum(t in _UNSHOWN for t, _ in stack[depth:])
+                foreign = 0
+                del stack[depth:]
+            if (foreign or name in _FOREIGN) and tag[0].endswith("/>"):
+                continue
+            if name in _RAW:
                 found = _ENDS[name].search(source, at)
                 at = found.end() if found else end
                 continue
@@ -109,16 +126,19 @@ class Page:
                         break
                     if stack[k][0] in _SAME[name]:
                         links -= sum(t == "a" for t, _ in stack[k:])
+                        hidden -= sum(t in _UNSHOWN for t, _ in stack[k:])
                         del stack[k:]
                         break
             elif name == "body" and hidden:
-                stack = [s for s in stack if s[0] != "head"]
+                stack = [s for s in stack if s[0] not in _UNSHOWN]
                 hidden = 0
             block = stack[-1][1]
-            if name in _INLINE:
+            if name in _INLINE or foreign or name in _FOREIGN:
                 links += name == "a"
+                hidden += name in _UNSHOWN
+                foreign += name in _FOREIGN
             else:
-                hidden += name == "head"
+                hidden += name in _UNSHOWN
                 self.pieces.append((block, " "))
                 self.parent.append(block)
                 block = len(self.tags)
@@ -350,7 +370,7 @@ def _marked_labels(source: str) -> tuple[Page, np.ndarray]:
     marks: list[str | None] = []
     for tag in _TAG.finditer(source):
         name = (tag[2] or tag[5] or "").lower()
-        if name and not (tag[1] or tag[4]) and name not in _VOID | _HIDDEN | _INLINE:
+        if name and not (tag[1] or tag[4]) and name not in _VOID | _RAW | _INLINE:
             found = _MARK.search(tag[0])
             marks.append(found[1] if found else None)
     page = Page(_MARK.sub(">", source))
@@ -388,8 +408,11 @@ def fit(sources: list[str], layouts: int = LAYOUTS, seed: int = 23) -> Extractor
 
 
 def train(pages: DataFrame, key: str = "page_id", source: str = "html", rows: int = TRAIN_PAGES) -> Extractor:
-    """Fit on at most ``rows`` pages."""
-    ids = bounded_sample(pages.filter(F.col(source).isNotNull() & F.col(key).isNotNull()).select(key), key, rows).select(
+    """Fit on at most ``rows`` pages, all of which name their article."""
+    bare = F.regexp_replace(F.col(source).cast("string"), _COMMENTS, "")
+    articles, mains = F.regexp_count(bare, F.lit(_ARTICLE)), F.regexp_count(bare, F.lit(_MAIN))
+    named = pages.filter(F.col(key).isNotNull() & ((articles == 1) | (articles == 0) & (mains == 1)))
+    ids = bounded_sample(named.select(key), key, rows).select(
         F.col(key).alias("_chosen")).distinct()
     chosen = pages.join(F.broadcast(ids), pages[key] == F.col("_chosen")).select(key, source).toArrow()
     found = sorted(zip(chosen.column(0).to_pylist(), chosen.column(1).to_pylist()))
