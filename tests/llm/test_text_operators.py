@@ -209,6 +209,13 @@ def test_quality_orders_grades_on_held_out_rows(spark):
     assert all(0 <= r.tail <= 1 and 0 <= r.expected_grade <= 2 for r in rows)
 
 
+def test_quality_marks_count_every_character():
+    """Letters that stand at every second place only, in a text so long that a stride of two would meet just them."""
+    text = "A1" * 2500
+    marks = [m for m, _ in quality._shape(text, np.zeros(1, np.uint64))]
+    assert marks[1] == 64 + 5 and marks[2] == 128 + 5
+
+
 def test_quality_of_awkward_rows(spark):
     ratings = spark.createDataFrame([(k, k % 3) for k in range(11)] + [(3, None), (None, 1)], "doc_id long, grade int")
     model = quality.train(make(spark, AWKWARD), ratings, F.lit(True), 3)

@@ -28,8 +28,8 @@ def _shape(text: str, words: np.ndarray) -> list[tuple[int, float]]:
     """Coarse levels of what the look of a text tells, hashed beside the words."""
     size = max(1, len(text))
     lines = text.split("\n")
-    letters = sum(map(str.isalpha, text[:: max(1, size // 2000)])) / max(1, len(text[:: max(1, size // 2000)]))
-    upper = sum(map(str.isupper, text[:: max(1, size // 2000)])) / max(1, len(text[:: max(1, size // 2000)]))
+    letters = sum(map(str.isalpha, text)) / size
+    upper = sum(map(str.isupper, text)) / size
     distinct = len(np.unique(words)) / max(1, len(words))
     levels = (
         round(8 * distinct), round(10 * letters), round(10 * upper), round(8 * len(set(lines)) / len(lines)),
