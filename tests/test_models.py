@@ -5,6 +5,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from varigrade.operators import metrics, models
+from varigrade.plans import queries_models
+from varigrade.plans.catalog import QUERIES
 from varigrade.sources import sinks
 
 
@@ -79,6 +81,34 @@ def test_regressors_learn(rows, learner):
     assert metrics.mae_r2(log).first().r2 > 0.8
 
 
+@pytest.mark.parametrize("name, expected", [
+    ("rf_regress", [(200, 30)]), ("rf_regress_grouped", [(200, 30)]), ("rf_classify", [(200, 30)]), ("gbt_regress", [(500, 5)]),
+    ("mlp_classify", [(500, None)]), ("boost_classify", [(100, 1), (100, 3), (100, 5), (100, 5)])])
+def test_registered_fits_have_the_full_size(rows, monkeypatch, name, expected):
+    class Started(Exception):
+        pass
+
+    def caught(*given, **more):
+        raise Started(next(x for x in given if isinstance(x, models.Learner) or isinstance(x, list)))
+
+    plain = rows.drop("features")
+    monkeypatch.setattr(models, "grouped_cv", caught)
+    monkeypatch.setattr(models, "split_eval", caught)
+    monkeypatch.setattr(queries_models, "_features", lambda t: (plain, plain, None))
+    for made in ("grouped_rows", "boosting_rows"):
+        monkeypatch.setattr(queries_models.evaluation, made, lambda df, *drop: rows)
+    with pytest.raises(Started) as found:
+        QUERIES[name](rows.sparkSession, "unused")
+    learners = found.value.args[0]
+    sizes = []
+    for learner in learners if isinstance(learners, list) else [learners]:
+        made = learner.build(rows)
+        made = made.getClassifier() if hasattr(made, "getClassifier") else made
+        sizes.append((made.getNumTrees() if hasattr(made, "getNumTrees") else made.getMaxIter(),
+                      made.getMaxDepth() if hasattr(made, "getMaxDepth") else None))
+    assert sizes == expected
+
+
 def test_saved_model_predicts_the_same(spark, rows, tmp_path):
     labelled = models.labelled(rows, "ppv_bin")
     model = models.logreg_classify(iterations=10).fit(labelled)
