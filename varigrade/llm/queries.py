@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varigrade.llm import (ann, chat, decontaminate, html_extract, langid, mixing, ngram_join, quality, token_files,
-                           toxicity)
+from varigrade.llm import (ann, bpe, chat, decontaminate, html_extract, langid, mixing, ngram_join, quality, spelling,
+                           token_files, toxicity, whitening)
 from varigrade.llm.common import fold, table
 
 TREE = ("domain", "lang", "source")
@@ -95,9 +95,22 @@ def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_main_text(pages, html_extract.train(pages))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"), slips=199)
+
+
+def op12_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(bpe.VOCABULARY))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_ngram_jaccard_join, op2_mix_sources, op3_toxicity, op4_quality_classifier, op5_decontamination,
-    op6_chat_format, op7_token_files, op8_nearest_neighbours, op9_language_id, op10_html_main_text)}
+    op6_chat_format, op7_token_files, op8_nearest_neighbours, op9_language_id, op10_html_main_text,
+    op11_spelling_variants, op12_bpe_codec, op13_whitening)}
 
 _WORDS = r"[^ \t\n\x0B\f\r]+"
 
