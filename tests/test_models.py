@@ -44,15 +44,6 @@ def test_weights(rows):
     by = {(r.label, r.has_exact_mic): (r.n, r.w) for r in spread.collect()}
     assert all(n == 1 for n, _ in by.values())
     assert by[1.0, 1][1] == 4.0 and by[0.0, 0][1] == 1.0
-    repeated = models.mlp_classify(8).prepare(models.labelled(rows, "ppv_bin"))
-    assert repeated.count() == 200 * 4 + 200
-
-
-def test_scaler_sees_each_row_once(rows):
-    labelled = models.labelled(rows, "ppv_bin")
-    model = models.mlp_classify(8, iterations=2).fit(labelled)
-    mean, width = rows.select(F.avg("noise"), F.stddev("noise")).first()
-    assert model.stages[0].mean[0] == pytest.approx(mean) and model.stages[0].std[0] == pytest.approx(width)
 
 
 def test_unknown_text_columns_are_refused(spark):
@@ -64,7 +55,6 @@ def test_unknown_text_columns_are_refused(spark):
 
 @pytest.mark.parametrize("learner", [
     models.rf_classify(trees=5, depth=4),
-    models.mlp_classify(8, iterations=30),
     models.boost_classify(iterations=3, depth=2),
 ])
 def test_classifiers_learn(rows, learner):
@@ -82,8 +72,7 @@ def test_regressors_learn(rows, learner):
 
 
 @pytest.mark.parametrize("name, expected", [
-    ("rf_regress", [(200, 30)]), ("rf_regress_grouped", [(200, 30)]), ("rf_classify", [(200, 30)]), ("gbt_regress", [(500, 5)]),
-    ("mlp_classify", [(500, None)]), ("boost_classify", [(100, 1), (100, 3), (100, 5), (100, 5)])])
+    ("rf_regress", [(200, 30)]), ("rf_regress_grouped", [(200, 30)]), ("rf_classify", [(200, 30)]), ("gbt_regress", [(500, 5)])])
 def test_registered_fits_have_the_full_size(rows, monkeypatch, name, expected):
     class Started(Exception):
         pass
@@ -95,8 +84,7 @@ def test_registered_fits_have_the_full_size(rows, monkeypatch, name, expected):
     monkeypatch.setattr(models, "grouped_cv", caught)
     monkeypatch.setattr(models, "split_eval", caught)
     monkeypatch.setattr(queries_models, "_features", lambda t: (plain, plain, None))
-    for made in ("grouped_rows", "boosting_rows"):
-        monkeypatch.setattr(queries_models.evaluation, made, lambda df, *drop: rows)
+    monkeypatch.setattr(queries_models.evaluation, "grouped_rows", lambda df, *drop: rows)
     with pytest.raises(Started) as found:
         QUERIES[name](rows.sparkSession, "unused")
     learners = found.value.args[0]
@@ -143,11 +131,3 @@ def test_components(spark):
     centre = models.pca_project(vectors).select(F.avg(vector_to_array("projection")[0])).first()[0]
     assert centre == pytest.approx(0, abs=1e-9)
     assert models.components_for_share([0.5, 0.45, 0.05], 0.95) == 2
-
-
-def test_embedding_regression_learns_categories(spark):
-    df = spark.range(600).select(
-        (F.col("id") % 5).alias("gene_id"), (F.col("id") % 3).alias("drug_id"), ((F.col("id") % 5) - 2.0).alias("target"))
-    model = models.mic_embedding_regress(["gene_id", "drug_id"], factors=4, iterations=120, step=0.1).fit(df)
-    log = model.transform(df).select(F.col("target").alias("actual"), F.col("prediction").alias("predicted"))
-    assert metrics.mae_r2(log).first().r2 > 0.8

@@ -15,13 +15,12 @@ from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
     LogisticRegression,
-    MultilayerPerceptronClassifier,
     OneVsRest,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import PCA, OneHotEncoder, StandardScaler, VectorAssembler, VectorSlicer
+from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import FMRegressor, GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,8 +71,7 @@ class Learner:
     """A named estimator with its weighting and scaling.
 
     ``build`` makes the estimator for a training part whose rows carry ``features`` (and ``weight`` unless
-    ``weighting`` is ``none``). Weighting is ``none``, ``evidence``, ``balanced`` or ``both``. ``repeat`` stands in
-    for weights where an estimator takes none: rows are repeated by their whole-number evidence weight.
+    ``weighting`` is ``none``). Weighting is ``none``, ``evidence``, ``balanced`` or ``both``.
     """
 
     name: str
@@ -81,14 +79,11 @@ class Learner:
     weighting: str = "evidence"
     scale: bool = False
     centre: bool = False
-    repeat: bool = False
 
     def prepare(self, train: DataFrame) -> DataFrame:
         evidence = F.lit(1.0)
         if self.weighting in ("evidence", "both"):
             evidence = evidence_weight(F.col("has_exact_mic"), F.col("has_variant_mic")).cast("double")
-        if self.repeat:
-            return train.withColumn("_copy", F.explode(F.sequence(F.lit(1), evidence.cast("int")))).drop("_copy")
         if self.weighting in ("balanced", "both"):
             return class_weights_balanced(train, "label", "weight", evidence)
         return train.withColumn("weight", evidence)
@@ -99,7 +94,7 @@ class Learner:
             first = StandardScaler(inputCol="raw", outputCol="features", withMean=self.centre, withStd=True)
         else:
             first = VectorAssembler(inputCols=["raw"], outputCol="features")
-        scaled = Pipeline(stages=[first]).fit(raw)  # mean and deviation of the rows as they are, not as often as repeated
+        scaled = Pipeline(stages=[first]).fit(raw)
         prepared = self.prepare(scaled.transform(raw))
         return PipelineModel([*scaled.stages, self.build(prepared).fit(prepared)])
 
@@ -135,14 +130,6 @@ def logreg_classify(c: float = 0.1, weighting: str = "both", iterations: int = 1
     return Learner("logistic", _logistic(c, iterations), weighting=weighting, scale=True)
 
 
-def mlp_classify(inputs: int, classes: int = 4, weighting: str = "evidence", iterations: int = 500,
-                 seed: int = 42) -> Learner:
-    """Hidden layers of 64 and 32 units on centred and scaled features."""
-    return Learner("perceptron", lambda train: MultilayerPerceptronClassifier(
-        layers=[inputs, 64, 32, classes], maxIter=iterations, seed=seed), weighting=weighting, scale=True, centre=True,
-        repeat=True)
-
-
 def gbt_regress(iterations: int = 500, depth: int = 5, seed: int = 42) -> Learner:
     """Boosted trees that stop when a held-back tenth of the groups no longer improves."""
     return Learner("boosted_trees", lambda train: GBTRegressor(
@@ -156,16 +143,6 @@ def boost_classify(name: str = "boosted_trees", iterations: int = 100, depth: in
         classifier=GBTClassifier(maxIter=iterations, maxDepth=depth, stepSize=step, seed=seed), weightCol="weight", parallelism=4))
 
 
-def boosters(iterations: int = 100) -> list[Learner]:
-    """The settings that are compared with each other."""
-    return [
-        boost_classify("boosted_stumps", iterations, depth=1, step=0.5),
-        boost_classify("boosted_depth3", iterations, depth=3),
-        boost_classify("boosted_depth5", iterations, depth=5),
-        boost_classify("boosted_slow", iterations, depth=5, step=0.05),
-    ]
-
-
 # evaluation
 
 def labelled(df: DataFrame, target: str) -> DataFrame:
@@ -281,16 +258,3 @@ def pca_logreg(train: DataFrame, test: DataFrame, target: str = "resistant", c:
 
     learner = Learner("pca_logistic", _logistic(c, iterations), weighting="balanced")
     return split_eval(reduced(train), reduced(test), learner, target)
-
-
-# measurement regression on categories
-
-def mic_embedding_regress(categories: Sequence[str], factors: int = 16, iterations: int = 100,
-                          step: float = 0.01, seed: int = 42) -> Pipeline:
-    """A latent vector per category id and their pairwise interactions, on the squared error of ``target``."""
-    hot = [f"{c}_hot" for c in categories]
-    return Pipeline(stages=[
-        OneHotEncoder(inputCols=list(categories), outputCols=hot, dropLast=False, handleInvalid="keep"),
-        VectorAssembler(inputCols=hot, outputCol="features"),
-        FMRegressor(labelCol="target", factorSize=factors, maxIter=iterations, stepSize=step, seed=seed),
-    ])

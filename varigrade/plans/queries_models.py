@@ -1,20 +1,26 @@
 """Queries that fit models on whole tables; results are not SQL.
 
-Every model is fitted at the library's sizes on all rows; the README has the times.
+Every model is fitted at the library's sizes on all rows, but for the boosters of ``boost_classify``: they are fitted on at
+most ``FIT_ROWS`` rows, with all rounds, and predict all rows. The README has the times.
 """
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from varigrade.operators import metrics, models
+from varigrade.operators import boosting, metrics, models, networks
 from varigrade.operators.folds import random_split
 from varigrade.plans import evaluation
 from varigrade.plans.queries_metrics import elements
 from varigrade.plans.registry import STAGES, Tables, query
 from varigrade.sources import sinks
 
+#: Rows the boosters are fitted on; None for all.
+FIT_ROWS = 6_000
+
 STAGES["quality_rows"] = """
     SELECT m.*, p.log2mic, d.drug_name FROM mutations m JOIN phenotypes p ON m.uniqueid = p.uniqueid
     LEFT JOIN drug_codes d ON p.drug = d.drug_code
@@ -104,9 +110,22 @@ def pca_logreg(t):
 
 @query()
 def mlp_classify(t):
-    rows = _grouped(t)
-    learner = models.mlp_classify(models.vector_width(rows, "features"))
-    return metrics.scores(models.grouped_cv(rows, [learner], "ppv_bin"), ["model", "fold"])
+    log, _ = evaluation.network_cv(_grouped(t), "ppv_bin", classes=4)
+    return metrics.scores(log, ["model", "fold"])
+
+
+@query("""SELECT CASE WHEN ppv >= 0.8 THEN 3 WHEN ppv >= 0.6 THEN 2 WHEN ppv >= 0.2 THEN 1 ELSE 0 END AS actual,
+    count(*) AS n, count(DISTINCT CASE WHEN position IS NULL THEN 'unknown_mutation'
+        ELSE concat('gene_', coalesce(gene, 'unknown'), '_', position) END) AS n_mutations FROM clean_rows GROUP BY ALL""")
+def mlp_supports(t):
+    log, _ = evaluation.network_cv(_grouped(t), "ppv_bin", classes=4, training=networks.Training(epochs=3))
+    return log.groupBy("actual").agg(F.count("predicted").alias("n"), F.countDistinct("mutation").alias("n_mutations"))
+
+
+@query()
+def nn_regress(t):
+    log, _ = evaluation.network_cv(_grouped(t), "ppv")
+    return metrics.mae_r2(log, ["model", "fold"])
 
 
 @query()
@@ -117,14 +136,52 @@ def gbt_regress(t):
 
 @query()
 def boost_classify(t):
-    rows = evaluation.boosting_rows(_features(t)[1])
-    return metrics.model_comparison(models.grouped_cv(rows, models.boosters(), "ppv_bin"))
+    log = evaluation.boosting_log(evaluation.boosting_table(_features(t)[1]), sample_rows=FIT_ROWS)
+    return metrics.model_comparison(log)
+
+
+@query("""SELECT model, CASE WHEN ppv >= 0.8 THEN 3 WHEN ppv >= 0.6 THEN 2 WHEN ppv >= 0.2 THEN 1 ELSE 0 END AS actual,
+    count(*) AS n, count(DISTINCT CASE WHEN position IS NULL THEN 'unknown_mutation'
+        ELSE concat('gene_', coalesce(gene, 'unknown'), '_', position) END) AS n_mutations
+    FROM clean_rows c LEFT JOIN (SELECT name, stop_pos FROM loci WHERE name IN (SELECT gene FROM clean_rows)) l
+        ON lower(c.gene) = lower(l.name), (VALUES ('boosted_stumps'), ('boosted_depth3')) m(model)
+    WHERE position IS NOT NULL AND stop_pos IS NOT NULL AND has_descriptor = 1 AND mean_log2mic_final IS NOT NULL
+    GROUP BY ALL""")
+def boost_supports(t):
+    """A few rounds on all rows, fitted by passes over the whole table."""
+    few = [replace(s, rounds=3) for s in boosting.SETTINGS[:2]]
+    log = evaluation.boosting_log(evaluation.boosting_table(_features(t)[1]), few)
+    return log.groupBy("model", "actual").agg(F.count("predicted").alias("n"), F.countDistinct("mutation").alias("n_mutations"))
+
+
+def _encoded(t: Tables):
+    return evaluation.encoded_measurements(t["mutations"], t["phenotypes"], t["drug_codes"])
 
 
 @query()
 def mic_embedding_regress(t):
-    ids, _ = evaluation.encoded_measurements(t["mutations"], t["phenotypes"], t["drug_codes"])
-    return evaluation.fit_measurements(ids)[1]
+    return evaluation.measurement_scores(evaluation.fit_measurements(_encoded(t)[0]).log)
+
+
+@query("""SELECT CASE WHEN substr(md5(concat('42:', uniqueid)), 1, 8) < '33333333' THEN 'validation' ELSE 'train' END AS part,
+    count(*) AS n FROM quality_rows GROUP BY ALL""")
+def mic_supports(t):
+    """Each epoch of a short run stands for every measurement once."""
+    few = networks.Training(epochs=2, decay=0.0)
+    log = evaluation.fit_measurements(_encoded(t)[0], few).log
+    return log.groupBy("part").agg(F.sum("n").alias("n"))
+
+
+@query()
+def resume_training(t):
+    """Losses by epoch of a run that is cut after three epochs and goes on from its stored state, vocabularies included."""
+    ids, vocabularies = _encoded(t)
+    training, store = networks.Training(epochs=8, decay=0.0), sinks.StateStore(t.spark, t.scratch("state"))
+    evaluation.fit_measurements(ids, training, store, stop_after=3)
+    store.save_vocabularies(vocabularies)
+    known = store.load_vocabularies(tuple(evaluation.VOCABULARIES))
+    again, _ = evaluation.encoded_measurements(t["mutations"], t["phenotypes"], t["drug_codes"], known)
+    return evaluation.fit_measurements(again, training, store).losses
 
 
 @query("""SELECT m.uniqueid, coalesce(g.id, 0) AS gene_id, coalesce(n.id, 0) AS pos_id,

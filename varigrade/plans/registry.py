@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import UserDict
 from collections.abc import Callable
 from functools import cached_property
 
@@ -11,8 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 from varigrade.plans import fixtures, measurements, modelling
 from varigrade.session import materialize, scratch_path
 
+
+
+class SqlTexts(UserDict):
+    """SQL by query; the stages a text mentions are put in front when it is asked for, whatever was registered first."""
+
+    def __getitem__(self, name: str) -> str:
+        return assemble(super().__getitem__(name))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES = SqlTexts()
 
 
 class Tables:
@@ -132,7 +142,7 @@ def query(sql: str | None = None, name: str | None = None):
         key = name or build.__name__
         QUERIES[key] = lambda spark, sf_dir: build(Tables(spark, sf_dir))
         if sql is not None:
-            ORACLES[key] = assemble(sql)
+            ORACLES[key] = sql
         return build
 
     return register
