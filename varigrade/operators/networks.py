@@ -188,7 +188,8 @@ def _row_arrays(batch: pa.RecordBatch, sparse: bool, ids: int) -> tuple[np.ndarr
     """(starts, slots, values, ids) of a batch whose first columns are slots and values, if ``sparse``, and ids."""
     if sparse:
         slots, values = batch.column(0), batch.column(1)
-        starts = np.concatenate([[0], np.cumsum(pc.list_value_length(slots).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        lengths = pc.fill_null(pc.list_value_length(slots), 0).to_numpy(zero_copy_only=False)
+        starts = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
         first = (starts, slots.flatten().to_numpy().astype(np.int32), values.flatten().to_numpy().astype(np.float32))
     else:
         first = (np.zeros(batch.num_rows + 1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.float32))
@@ -199,7 +200,7 @@ def _row_arrays(batch: pa.RecordBatch, sparse: bool, ids: int) -> tuple[np.ndarr
 def blocks_of(rows: DataFrame, features: str | None, ids: Sequence[str], target: Column, weight: Column, fold: Column,
               held: Column, fits: int) -> RDD:
     """Blocks of all rows with a target and a weight. In fit f a row of fold f has no part, a ``held`` one is for validation."""
-    given = rows.select(*(_sparse(features) if features else []), *[F.col(c).cast("long").alias(c) for c in ids],
+    given = rows.select(*(sparse_columns(features) if features else []), *[F.col(c).cast("long").alias(c) for c in ids],
                         target.cast("double").alias("_target"), weight.cast("double").alias("_weight"),
                         F.coalesce(fold, F.lit(-1)).cast("int").alias("_fold"), F.coalesce(held, F.lit(False)).alias("_held"))
     given = given.filter("_target is not null and _weight is not null")
@@ -219,7 +220,18 @@ def blocks_of(rows: DataFrame, features: str | None, ids: Sequence[str], target:
     return packed.rdd.map(lambda row: pickle.loads(row["block"])).persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def _sparse(features: str) -> list[Column]:
+def sparse_width(features: str) -> Column:
+    """A vector column as an array, to take its size."""
+    return vector_to_array(features)
+
+
+def sparse_block(batch: pa.RecordBatch) -> Block:
+    """The features of a batch that begins with ``sparse_columns``; no row has a part in a fit."""
+    n = batch.num_rows
+    return Block(*_row_arrays(batch, True, 0), np.zeros(n), np.zeros(n), np.zeros((n, 0), np.uint8))
+
+
+def sparse_columns(features: str) -> list[Column]:
     """The non-zero slots of a vector column and their values, as plain arrays."""
     array = vector_to_array(features)
     filled = F.filter(F.transform(array, lambda v, i: F.struct(i.alias("i"), v.alias("v"))), lambda s: s["v"] != 0)
@@ -247,6 +259,16 @@ def feature_scales(blocks: RDD, width: int, fits: int) -> list[Scale]:
     return made
 
 
+def centred_squares(blocks: RDD, scale: Scale) -> np.ndarray:
+    """The sum of squared distances from the mean of every feature, over all rows."""
+    width = len(scale.mean)
+
+    def squares(given: Iterable[Block]) -> list[np.ndarray]:
+        return [sum((((b.dense(width) - scale.mean) ** 2).sum(axis=0) for b in given), np.zeros(width))]
+
+    return total(blocks.mapPartitions(squares))
+
+
 def pass_sums(blocks: Iterable[Block], network: Network, given: list[Parameters | None]) -> list[np.ndarray]:
     """One task's sums for every running fit: gradients, then loss and weight of the training and of the held-back rows."""
     out: list[np.ndarray | None] = [None] * len(given)
@@ -351,6 +373,6 @@ def predictions(rows: DataFrame, network: Network, state: list[Fit], scales: lis
                         out[mine] = network.predict(network.forward(parameters, x[mine], block.ids[mine])[-1])
                 yield pa.RecordBatch.from_arrays([*[batch.column(2 * sparse + n + 1 + k) for k in range(others)], pa.array(out)], names)
 
-    given = rows.select(*(_sparse(features) if sparse else []), *[F.col(c).cast("long").alias(c) for c in ids],
+    given = rows.select(*(sparse_columns(features) if sparse else []), *[F.col(c).cast("long").alias(c) for c in ids],
                         fold.cast("int").alias("_fold"), *[c.alias(name) for name, c in keep.items()])
     return given.mapInArrow(run, f"{kinds}, predicted double")

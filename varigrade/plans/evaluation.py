@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varigrade.functions.notation import aa_index
 from varigrade.functions.scores import cast_float32, evidence_weight, ppv_bin
-from varigrade.operators import boosting, models, networks
+from varigrade.operators import boosting, forests, models, networks
 from varigrade.operators.columns import (
     drop_null_columns,
     drop_null_rows,
@@ -105,6 +105,32 @@ def encoded_measurements(mutations: DataFrame, phenotypes: DataFrame, drug_codes
     return ids, vocabularies
 
 
+def forest_cv(rows: DataFrame, target: str, sample_rows: int, classes: int = 0, folds: int = 5, trees: int = 200) -> DataFrame:
+    """Prediction log of a forest over all folds of ``grouped_rows``.
+
+    Classes are fitted with balanced times evidence weights on the square root of the features a node, values without
+    weights on all features. Every row is predicted; at most ``sample_rows`` rows are fitted on.
+    """
+    weight = evidence_weight(F.col("has_exact_mic"), F.col("has_variant_mic")) if classes else F.lit(1.0)
+    forest = forests.fit_forests(rows, "features", target, weight, F.col("fold"), range(folds), sample_rows, classes, trees,
+                                 subset="sqrt" if classes else "all", balance=classes > 0)
+    return _forest_log(forest, rows, target, F.col("fold"), "mutation_key", "int" if classes else "double")
+
+
+def forest_split(rows: DataFrame, key: str, target: str, sample_rows: int, trees: int = 200) -> DataFrame:
+    """Prediction log of one regression forest for the fifth of the keys that is held out."""
+    fold = F.when(in_test_share(F.col(key)), 0).otherwise(1)
+    forest = forests.fit_forests(rows, "features", target, F.lit(1.0), fold, [0], sample_rows, trees=trees, subset="all")
+    return _forest_log(forest, rows, target, fold, "gene", "double")
+
+
+def _forest_log(forest: forests.Forest, rows: DataFrame, target: str, fold: Column, group: str, kind: str) -> DataFrame:
+    log = forest.predictions(
+        rows, "features", fold, {"fold": fold.cast("int"), "mutation": F.col(group), "actual": F.col(target).cast(kind)},
+        f"fold int, mutation string, actual {kind}")
+    return log.select(F.lit("random_forest").alias("model"), "fold", "mutation", "actual", F.col("predicted").cast(kind).alias("predicted"))
+
+
 #: Embedding widths of gene, position, amino acid (of both sides) and drug, and the table of each id column.
 EMBEDDING_WIDTHS, EMBEDDING_USES = (64, 32, 16, 16), (0, 1, 2, 2, 3)
 

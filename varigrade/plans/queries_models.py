@@ -1,7 +1,7 @@
 """Queries that fit models on whole tables; results are not SQL.
 
-Every model is fitted at the library's sizes on all rows, but for the boosters of ``boost_classify``: they are fitted on at
-most ``FIT_ROWS`` rows, with all rounds, and predict all rows. The README has the times.
+Every model is fitted at the library's sizes on all rows, but for ``boost_classify`` and the forests: they are fitted on at most
+``FIT_ROWS`` rows, with all rounds and trees, and predict all rows. The README has the times.
 """
 
 from __future__ import annotations
@@ -11,15 +11,14 @@ from dataclasses import replace
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from varigrade.operators import boosting, metrics, models, networks
-from varigrade.operators.folds import random_split
+from varigrade.operators import boosting, components, metrics, models, networks
 from varigrade.plans import evaluation
-from varigrade.plans.queries_metrics import elements
 from varigrade.plans.registry import STAGES, Tables, query
+from varigrade.session import materialize
 from varigrade.sources import sinks
 
-#: Rows the boosters are fitted on; None for all.
-FIT_ROWS = 6_000
+#: Rows that boosters and forests are fitted on.
+FIT_ROWS, FOREST_ROWS = 6_000, 2_000
 
 STAGES["quality_rows"] = """
     SELECT m.*, p.log2mic, d.drug_name FROM mutations m JOIN phenotypes p ON m.uniqueid = p.uniqueid
@@ -36,8 +35,9 @@ def _grouped(t: Tables):
     return evaluation.grouped_rows(_features(t)[1])
 
 
-def _embedded(t: Tables):
-    return models.columns_to_vector(elements(t), drop=())
+def _vectors(t: Tables, *more: str):
+    """Feature vectors of the positioned table; written once, since every pass starts from them."""
+    return materialize(models.columns_to_vector(_features(t)[1]).select("features", *more), spread=True)
 
 
 @query("SELECT p_partkey, CAST(p_size AS DOUBLE) AS v0, p_retailprice AS v1, CAST(coalesce(gappy, 0) AS DOUBLE) AS v2 FROM numbers")
@@ -55,42 +55,55 @@ def eda_matrix(t):
 
 @query()
 def pca_explained(t):
-    return models.pca_explained(_embedded(t))
+    rows = _vectors(t)
+    return components.explained(rows, components.fit_components(rows, components=64))
 
 
 @query()
 def pca_project(t):
-    points = models.pca_project(_embedded(t)).select(vector_to_array("projection").alias("p"))
-    return points.select(F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))
+    rows = _vectors(t)
+    points = components.fit_components(rows, components=10).project(rows)
+    return points.select(F.get("projection", F.lit(0)).alias("x"), F.get("projection", F.lit(1)).alias("y"))
 
 
 @query()
 def pca_keep_variance(t):
-    rows = _embedded(t)
-    kept = models.VarianceKept(0.95).fit(rows).transform(rows)
-    return kept.select(vector_to_array("kept").alias("kept"))
+    rows = _vectors(t)
+    return components.components_for(rows, 0.95).project(rows, output="kept")
+
+
+@query("SELECT resistant, count(*) AS n FROM clean_rows GROUP BY resistant")
+def pca_supports(t):
+    """Points of the plane view by grade: every row of the feature table has one."""
+    rows = _vectors(t, "resistant")
+    points = components.fit_components(rows, components=2).project(rows)
+    return points.filter(F.size("projection") == 2).groupBy("resistant").agg(F.count("*").alias("n"))
 
 
 @query()
 def rf_regress(t):
     clean = _features(t)[0]
     rows = models.columns_to_vector(clean).withColumn("row", F.xxhash64(*clean.columns))
-    train, test = random_split(rows, "row")
-    log = models.split_eval(train, test, models.rf_regress(), "ppv", whole=False)
+    log = evaluation.forest_split(rows, "row", "ppv", FOREST_ROWS)
     return metrics.mae_r2(log, ["model"])
 
 
 @query()
 def rf_regress_grouped(t):
     rows = evaluation.grouped_rows(_features(t)[1], models.HOLDOUT_REGRESSION_DROP)
-    log = models.grouped_cv(rows, [models.rf_regress()], "ppv", whole=False)
-    return metrics.mae_r2(log, ["model", "fold"])
+    return metrics.mae_r2(evaluation.forest_cv(rows, "ppv", FOREST_ROWS), ["model", "fold"])
 
 
 @query()
 def rf_classify(t):
-    log = models.grouped_cv(_grouped(t), [models.rf_classify()], "ppv_bin")
-    return metrics.scores(log, ["model", "fold"])
+    return metrics.scores(evaluation.forest_cv(_grouped(t), "ppv_bin", FOREST_ROWS, classes=4), ["model", "fold"])
+
+
+@query("""SELECT CASE WHEN ppv >= 0.8 THEN 3 WHEN ppv >= 0.6 THEN 2 WHEN ppv >= 0.2 THEN 1 ELSE 0 END AS actual,
+    count(*) AS n FROM clean_rows GROUP BY ALL""")
+def rf_supports(t):
+    log = evaluation.forest_cv(_grouped(t), "ppv_bin", FOREST_ROWS, classes=4, trees=10)
+    return log.groupBy("actual").agg(F.count("predicted").alias("n"))
 
 
 @query()
