@@ -29,9 +29,12 @@ from varigrade.llm.common import bounded_sample, slices
 
 #: Pages that the trees are fitted on at most, and layouts made of each.
 TRAIN_PAGES, LAYOUTS = 240, 4
+# Outside quotes a tag is read up to the next "<" at most, so no reading goes far without taking what it read.
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
-                  r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>"
-                  r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[a-zA-Z/][^<>]*\Z", re.S)
+                  r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^<>\"']++|\"[^\"]*\"|'[^']*')*+)>"
+                  r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
+#: The rest of a page after its last ">": markup that never ends.
+_OPEN_END = re.compile(r"<[!?].*|<[a-zA-Z/][^<>]*\Z", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PIECE = re.compile(r"[a-z]+")
 #: Their content is no markup and ends at their closing tag only.
@@ -64,10 +67,23 @@ class Page:
         self._read(source or "")
 
     def _read(self, source: str) -> None:
-        stack: list[tuple[str, int]] = [("#page", 0)]  # (tag, its block)
+        stack: list[tuple[str, int, int]] = [("#page", 0, 0)]  # (tag, its block, nearest place that holds no inline tag)
+        opened: Counter[str] = Counter()  # tags on the stack, so that a stray one is known without looking through it
         links, hidden, foreign, at, end = 0, 0, 0, 0, len(source)
+        closed_until = source.rfind(">") + 1
+
+        def drop(depth: int) -> None:
+            for gone, _, _ in stack[depth:]:
+                opened[gone] -= 1
+            del stack[depth:]
+
         while at < end:
-            tag = _TAG.search(source, at)
+            tag = _TAG.search(source, at) if at < closed_until else None
+            if tag is None or tag.start() >= closed_until:
+                tag = _OPEN_END.search(source, max(at, closed_until))
+                if tag:
+                    end = tag.start()
+                    tag = None
             stop = tag.start() if tag else end
             if stop > at and not hidden:
                 text = source[at:stop]
@@ -85,16 +101,16 @@ class Page:
                 continue
             name, closing = name.lower(), bool(tag[1] or tag[4])
             if closing:
-                depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name), 0)
-                if not depth:
+                if not opened[name]:
                     continue
-                for gone, block in stack[depth:]:
+                depth = next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name)
+                for gone, block, _ in stack[depth:]:
                     links -= gone == "a"
                     hidden -= gone in _UNSHOWN
                     foreign -= gone in _FOREIGN
                     if gone not in _INLINE and block != stack[depth - 1][1]:
                         self.pieces.append((self.parent[block], " "))
-                del stack[depth:]
+                drop(depth)
                 continue
             if name in _VOID:
                 if name in ("br", "hr"):
@@ -103,11 +119,11 @@ class Page:
                     self.inputs[stack[-1][1]] += 1
                 continue
             if foreign and name in _LEAVES_FOREIGN:
-                depth = next(k for k, (t, _) in enumerate(stack) if t in _FOREIGN)
-                links -= sum(t == "a" for t, _ in stack[depth:])
-                hidden -= sum(t in _UNSHOWN for t, _ in stack[depth:])
+                depth = next((k for k, (t, _, _) in enumerate(stack) if t in _FOREIGN), len(stack))
+                links -= sum(t == "a" for t, _, _ in stack[depth:])
+                hidden -= sum(t in _UNSHOWN for t, _, _ in stack[depth:])
                 foreign = 0
-                del stack[depth:]
+                drop(depth)
             if (foreign or name in _FOREIGN) and tag[0].endswith("/>"):
                 continue
             if name in _RAW:
@@ -115,22 +131,26 @@ class Page:
                 at = found.end() if found else end
                 continue
             if name in _CLOSES_P:
-                depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] not in _INLINE), 0)
+                depth = stack[-1][2]
                 if depth and stack[depth][0] == "p":
-                    links -= sum(t == "a" for t, _ in stack[depth:])
+                    links -= sum(t == "a" for t, _, _ in stack[depth:])
                     self.pieces.append((self.parent[stack[depth][1]], " "))
-                    del stack[depth:]
-            elif name in _SAME:
+                    drop(depth)
+            elif name in _SAME and any(opened[t] for t in _SAME[name]):
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] in _LISTS:
                         break
                     if stack[k][0] in _SAME[name]:
-                        links -= sum(t == "a" for t, _ in stack[k:])
-                        hidden -= sum(t in _UNSHOWN for t, _ in stack[k:])
-                        del stack[k:]
+                        links -= sum(t == "a" for t, _, _ in stack[k:])
+                        hidden -= sum(t in _UNSHOWN for t, _, _ in stack[k:])
+                        drop(k)
                         break
             elif name == "body" and hidden:
-                stack = [s for s in stack if s[0] not in _UNSHOWN]
+                shown = [s for s in stack if s[0] not in _UNSHOWN]
+                drop(0)
+                for tag_name, block, _ in shown:
+                    stack.append((tag_name, block, stack[-1][2] if tag_name in _INLINE else len(stack)))
+                    opened[tag_name] += 1
                 hidden = 0
             block = stack[-1][1]
             if name in _INLINE or foreign or name in _FOREIGN:
@@ -146,7 +166,8 @@ class Page:
                 self.tokens.append(_tokens(name, tag[3] or tag[6] or ""))
                 self.link_chars.append(0)
                 self.inputs.append(0)
-            stack.append((name, block))
+            stack.append((name, block, stack[-1][2] if name in _INLINE else len(stack)))
+            opened[name] += 1
 
     def text(self, kept: list[bool] | np.ndarray) -> str:
         """The text of kept blocks in page order, white space as one space."""
