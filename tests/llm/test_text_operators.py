@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -408,6 +409,17 @@ def test_neighbours_of_awkward_vectors(spark):
     assert ann.nearest(frame.filter("false"), F.lit(True)).count() == 0
 
 
+def test_rows_that_share_an_id_are_queries_and_candidates_each(spark):
+    points = [(100, 0.0), (100, 5.0), (1, 1.0), (2, 2.0), (3, 3.0), (3, 3.0), (4, 9.0)]
+    frame = spark.createDataFrame([(i, [x + 1.0, 1.0]) for i, x in points], "vec_id long, embedding array<double>")
+    found = ann.nearest(frame, F.col("vec_id") % 100 == 0, k=4).collect()
+    expected = []
+    for own in (0, 1):
+        near = sorted((abs(x - points[own][1]), i) for k, (i, x) in enumerate(points) if k != own)[:4]
+        expected += [(100, rank, i, d) for rank, (d, i) in enumerate(near, 1)]
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in found) == sorted(expected)
+
+
 # --- language ----------------------------------------------------------------------------------------------------
 
 def test_language_on_held_out_rows(spark):
@@ -480,6 +492,21 @@ def test_unclosed_and_drawn_elements_hide_no_article(spark, sf_dir, monkeypatch)
     assert html_extract.train(frame, rows=4).trees is not None
 
 
+def test_broken_markup_is_read_once_and_never_raises():
+    long = ["<a " * 350_000, "<div>" * 50_000 + "</b>" * 100_000, "<a<" * 300_000, '<a ">"' * 150_000, "<a '" * 250_000 + ">",
+            "<b>" * 50_000 + "<div></div>" * 50_000]
+    for page in long:
+        start = time.process_time()
+        html_extract.Page(page)
+        assert time.process_time() - start < 4, page[:12]
+    parts = ["<p>", "</p>", "<div>", "</div>", "<b>", "</b>", "<a href=x>", "<li>", "<ul>", "<td>", "<th>", "<tr>", "<table>", "text ",
+             "<svg>", "</svg>", "<svg/>", "<", ">", '"', "'", "<!--", "-->", "<script>", "<head>", "<body>", "<template>", "<x", "</"]
+    rng = random.Random(1)
+    for _ in range(20_000):
+        page = html_extract.Page("".join(rng.choice(parts) for _ in range(rng.randint(1, 25))))
+        assert len(page.tags) == len(page.parent) == len(page.tokens)
+
+
 def test_main_text_of_awkward_pages(spark):
     pages = ["<article>a <b>b</b>c&amp;<script>x</script> d", "<p", "<!-- <article>x</article>", None, "", "plain",
              "<nav>" * 3000 + "deep", "<a class='>' title=\"<p>\">t</a>", "<article>" + "w " * 200000 + "</article>"]

@@ -68,8 +68,8 @@ def hamming(codes: np.ndarray, code: np.ndarray) -> np.ndarray:
 class Index:
     """One shard: an inverted table per substring."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray):
-        self.ids, self.vectors, self.codes = ids, vectors, codes
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray):
+        self.rows, self.ids, self.vectors, self.codes = rows, ids, vectors, codes
         self.order = [np.argsort(codes[:, t], kind="stable") for t in range(codes.shape[1])]
         self.bounds = [np.searchsorted(codes[o, t], np.arange(257)) for t, o in enumerate(self.order)]
 
@@ -84,10 +84,11 @@ class Index:
         rows = np.flatnonzero(seen)
         return rows[hamming(self.codes[rows], code) <= radius]
 
-    def search(self, query: np.ndarray, code: np.ndarray, own: int, k: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, query: np.ndarray, code: np.ndarray, own: int, k: int, radius: int) -> tuple[np.ndarray, ...]:
+        """(rows, ids, distances) of the ``k`` nearest but the row ``own``; equal distances by id, then by row."""
         while True:
             rows = self.within(code, radius)
-            rows = rows[self.ids[rows] != own]
+            rows = rows[self.rows[rows] != own]
             if len(rows) >= k or radius >= 8 * len(self.order):
                 break
             radius += len(self.order)
@@ -95,8 +96,8 @@ class Index:
         if len(rows) > k:
             kept = distance <= np.partition(distance, k - 1)[k - 1]
             rows, distance = rows[kept], distance[kept]
-        best = np.lexsort((self.ids[rows], distance))[:k]
-        return self.ids[rows[best]], distance[best]
+        best = np.lexsort((self.rows[rows], self.ids[rows], distance))[:k]
+        return self.rows[rows[best]], self.ids[rows[best]], distance[best]
 
 
 def calibrated_radius(coder: Coder, sample: np.ndarray, k: int, goal: float, queries: int = 300) -> int:
@@ -125,14 +126,14 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, key: str = "vec_id", colu
             sample_rows: int = SAMPLE, goal: float = GOAL) -> DataFrame:
     """The ``k`` nearest found of each query row: query_id, rank, vec_id, score (Euclidean distance, in double precision).
 
-    ``is_query`` is a column over ``vec_id``. Every usable row but the query's own id is a candidate; equal distances go by
-    id. Rows with null, zero, non-finite or odd-width vectors, or without id, take no part. Repeated rows of one id
-    are candidates each. No usable rows, no result.
+    ``is_query`` is a column over ``vec_id``. Every usable row but the query's own is a candidate; equal distances go by
+    id. Rows with null, zero, non-finite or odd-width vectors, or without id, take no part. Repeated rows of one id are
+    candidates and queries each, so such a query id has a list for each of its rows. No usable rows, no result.
     """
-    ready = materialize(usable(vectors, key, column))
+    ready = materialize(usable(vectors, key, column).withColumn("row", F.monotonically_increasing_id()))
     total = ready.count()
     spark = vectors.sparkSession
-    out = "query_id long, vec_id long, score double"
+    out = "query_row long, query_id long, row long, vec_id long, score double"
     if not total:
         return spark.createDataFrame([], out).withColumn("rank", F.lit(1)).select("query_id", "rank", "vec_id", "score")
     sample = matrix(bounded_sample(ready, "vec_id", sample_rows).toArrow().column("embedding"))
@@ -141,25 +142,28 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, key: str = "vec_id", colu
     shards = -(-total // SHARD)
     queries = ready.filter(is_query)
     blocks = max(1, -(-queries.count() // BLOCK))
-    shard, block = F.pmod(F.xxhash64("vec_id", "embedding"), shards), F.pmod(F.xxhash64("vec_id"), blocks)
+    shard, block = F.pmod(F.xxhash64("vec_id", "row"), shards), F.pmod(F.xxhash64("vec_id", "row"), blocks)
     left = ready.select(shard.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
-                        "vec_id", "embedding")
+                        "row", "vec_id", "embedding")
     right = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("to_shard"),
-                           block.alias("of_block"), F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+                           block.alias("of_block"), F.col("row").alias("query_row"), F.col("vec_id").alias("query_id"),
+                           F.col("embedding").alias("query"))
 
     def search(held: pa.Table, asked: pa.Table) -> pa.Table:
         found: list[tuple[np.ndarray, ...]] = []
         if held.num_rows and asked.num_rows:
             points = matrix(held.column("embedding"))
-            index = Index(held.column("vec_id").to_numpy(), points, coder.codes(points))
+            index = Index(held.column("row").to_numpy(), held.column("vec_id").to_numpy(), points, coder.codes(points))
             wanted = matrix(asked.column("query"))
-            for own, query, code in zip(asked.column("query_id").to_pylist(), wanted, coder.codes(wanted)):
-                ids, distance = index.search(query, code, own, k, radius)
-                found.append((np.full(len(ids), own), ids, distance))
-        columns = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, int), np.zeros(0, int), np.zeros(0)]
-        return pa.table({"query_id": pa.array(columns[0], pa.int64()), "vec_id": pa.array(columns[1], pa.int64()),
-                         "score": pa.array(columns[2], pa.float64())})
+            for row, name, query, code in zip(asked.column("query_row").to_pylist(), asked.column("query_id").to_pylist(), wanted,
+                                              coder.codes(wanted)):
+                near = index.search(query, code, row, k, radius)
+                found.append((np.full(len(near[0]), row), np.full(len(near[0]), name), *near))
+        columns = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, int)] * 4 + [np.zeros(0)]
+        kinds = [pa.int64()] * 4 + [pa.float64()]
+        return pa.table([pa.array(c, kind) for c, kind in zip(columns, kinds)],
+                        names=["query_row", "query_id", "row", "vec_id", "score"])
 
     best = left.groupBy("shard", "block").cogroup(right.groupBy("to_shard", "of_block")).applyInArrow(search, out)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy("score", "vec_id", "row"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
