@@ -80,10 +80,26 @@ def test_stage_is_built_once_and_again_when_cut_off(spark, tmp_path):
 
     assert sinks.cache_table(spark, path, build).count() == 3
     assert sinks.cache_table(spark, path, build).count() == 3 and len(calls) == 1
-    os.unlink(f"{path}/_SUCCESS")
+    for marker in (tmp_path / "stage").glob("*/whole/*.parquet"):
+        marker.unlink()
     assert sinks.cache_table(spark, path, build).count() == 3 and len(calls) == 2
 
 
+def test_a_stage_is_built_again_when_an_input_or_a_setting_changes(spark, tmp_path):
+    given, path, calls = str(tmp_path / "given"), str(tmp_path / "stage"), []
+
+    def build():
+        calls.append(1)
+        return spark.read.parquet(given)
+
+    spark.range(3).coalesce(1).write.parquet(given)
+    for settings in ("a", "a", "b"):
+        assert sinks.cache_table(spark, path, build, [given], settings).count() == 3
+    assert len(calls) == 2
+    spark.range(4).coalesce(1).write.mode("append").parquet(given)
+    assert sinks.cache_table(spark, path, build, [given], "b").count() == 7 and len(calls) == 3
+
+
 def test_label_map(spark, tmp_path):
     path = str(tmp_path / "map")
     sinks.sink_label_map(spark.createDataFrame([(1, "b"), (0, "a")], "id int, value string"), path)

@@ -61,6 +61,8 @@ STAGES["graded"] = """
 STAGES["drug_ids"] = """
     SELECT drug, row_number() OVER (ORDER BY drug) - 1 AS id FROM (SELECT DISTINCT drug FROM graded WHERE drug IS NOT NULL)"""
 STAGES["common_genes"] = "SELECT gene FROM graded GROUP BY gene HAVING count(*) >= 10"
+#: Elements of a drug descriptor.
+WIDTH = 64
 STAGES["clean_rows"] = """
     SELECT g.ppv, k.gene, g.drug_norm, g.position, g.mean_log2mic_final, g.mic_count_final, g.has_exact_mic,
         g.has_variant_mic, g.resistant, 'missense' AS mut_type,
@@ -69,10 +71,10 @@ STAGES["clean_rows"] = """
         CAST(coalesce(length(g.alternative_nucleotide), 3) AS INTEGER) AS alt_len,
         CASE WHEN length(g.reference_nucleotide) = 1 THEN g.reference_nucleotide ELSE 'LONG' END AS ref_base,
         CASE WHEN length(g.alternative_nucleotide) = 1 THEN g.alternative_nucleotide ELSE 'LONG' END AS alt_base,
-        d.embedding[1] AS e_first, d.embedding[64] AS e_last, CASE WHEN d.drug IS NULL THEN 0 ELSE 1 END AS has_descriptor
+        %s, CASE WHEN d.drug IS NULL THEN 0 ELSE 1 END AS has_descriptor
     FROM graded g LEFT JOIN drug_ids i ON g.drug = i.drug LEFT JOIN common_genes k ON g.gene = k.gene
     LEFT JOIN descriptors d ON g.drug = d.drug
-    LEFT JOIN aa r ON r.three = substr(mutation, 3, 3) LEFT JOIN aa a ON a.three = right(mutation, 3)"""
+    LEFT JOIN aa r ON r.three = substr(mutation, 3, 3) LEFT JOIN aa a ON a.three = right(mutation, 3)""" % ", ".join(f"d.embedding[{i + 1}] AS e_{i}" for i in range(WIDTH))
 STAGES["grouped"] = """
     SELECT *, CASE WHEN position IS NULL THEN 'unknown_mutation'
         ELSE concat('gene_', coalesce(gene, 'unknown'), '_', position) END AS mutation_key FROM model_table"""
@@ -211,15 +213,14 @@ def gene_coordinates(t):
 
 # feature tables
 
-def _ends(features):
-    """The descriptor's ends in place of the array, which the SQL check compares as plain numbers."""
-    ends = {"e_first": F.get("embedding", F.lit(0)), "e_last": F.get("embedding", F.lit(63))}
-    return features.withColumns(ends).drop("embedding")
+def _elements(features):
+    """The descriptor's elements in place of the array, which the SQL check compares as plain numbers."""
+    return features.withColumns({f"e_{i}": F.get("embedding", F.lit(i)) for i in range(WIDTH)}).drop("embedding")
 
 
 @query("SELECT * FROM clean_rows")
 def clean_features(t):
-    return _ends(evaluation.feature_tables(t.model, t["loci"], t["descriptors"])[0])
+    return _elements(evaluation.feature_tables(t.model, t["loci"], t["descriptors"])[0])
 
 
 @query("""SELECT c.*, CASE WHEN c.position IS NOT NULL THEN
@@ -230,7 +231,7 @@ def clean_features(t):
     FROM clean_rows c LEFT JOIN (SELECT * FROM loci WHERE name IN (SELECT gene FROM clean_rows)) l
     ON lower(c.gene) = lower(l.name)""")
 def positioned_features(t):
-    return _ends(evaluation.feature_tables(t.model, t["loci"], t["descriptors"])[1])
+    return _elements(evaluation.feature_tables(t.model, t["loci"], t["descriptors"])[1])
 
 
 # splits

@@ -63,9 +63,9 @@ def sink_csv(t):
 
 @query("SELECT * FROM mic_groups")
 def cache_table(t):
-    path = t.scratch("stage")
-    sinks.cache_table(t.spark, path, lambda: aggregates.agg_variant_mic(t.measured))
-    return sinks.cache_table(t.spark, path, lambda: aggregates.agg_variant_mic(t.measured))
+    path, inputs = t.scratch("stage"), [f"{t.sf_dir}/{name}.parquet" for name in ("lineitem", "orders")]
+    sinks.cache_table(t.spark, path, lambda: aggregates.agg_variant_mic(t.measured), inputs)
+    return sinks.cache_table(t.spark, path, lambda: aggregates.agg_variant_mic(t.measured), inputs)
 
 
 @query("""SELECT concat('nation-', n_nationkey) AS name, CASE WHEN n_nationkey % 5 = 4 THEN 'missing'
@@ -376,7 +376,7 @@ def contingency_metrics(t):
     SELECT uniqueid, gene, mutation FROM (SELECT *, count(*) OVER (PARTITION BY uniqueid) AS n FROM listed) WHERE n = 1""")
 def solo_filter(t):
     """The catalogue here: variants with a measurement summary."""
-    return aggregates.solo_filter(t["mutations"], t.summary, ["gene", "mutation"], "uniqueid").select(
+    return aggregates.solo_filter(t["mutations"], t.mic, ["gene", "mutation"], "uniqueid").select(
         "uniqueid", "gene", "mutation")
 
 
