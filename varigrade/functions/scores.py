@@ -20,8 +20,6 @@ GRADE_CODES = {
 # Lower edge of each predictive-value bin, highest first.
 PPV_EDGES = ((0.8, 3), (0.6, 2), (0.2, 1))
 
-# Display names of the ordinal labels.
-
 
 def grade_code(grade: Column) -> Column:
     """Ordinal 0-3 of a grade; null for the uncertain and for unknown grades."""

@@ -36,6 +36,7 @@ CATEGORIES = ("gene", "mut_type", "ref", "alt", "ref_base", "alt_base")
 # Columns that are no features, by task.
 BASELINE_DROP = ("resistant", "ppv", "drug", "drug_norm", "mutation_key", "ppv_bin")
 HOLDOUT_REGRESSION_DROP = (*BASELINE_DROP, "position")
+# The drugs of the hold-out task.
 HELD_OUT_DRUGS = ("Amikacin", "Kanamycin", "Streptomycin")
 MAX_TREE_DEPTH = 30
 

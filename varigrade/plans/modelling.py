@@ -18,6 +18,7 @@ from varigrade.operators.joins import (
     join_variant_positions,
 )
 
+# Headers of the catalogue file and their short names.
 CATALOGUE_NAMES = {
     "PPV_DATASET ALL": "ppv",
     "MUTATION": "mutation",

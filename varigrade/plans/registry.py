@@ -13,7 +13,6 @@ from varigrade.plans import fixtures, measurements, modelling
 from varigrade.session import materialize, scratch_path
 
 
-
 class SqlTexts(UserDict):
     """SQL by query; the stages a text mentions are put in front when it is asked for, whatever was registered first."""
 
