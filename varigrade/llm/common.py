@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from varigrade.session import scratch_path
+
 LETTERS_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Rows per Arrow batch where rows hold whole texts; keeps a batch of ordinary texts near 2 MB.
 TEXT_ROWS = 512
@@ -40,6 +42,49 @@ def bounded_sample(df: DataFrame, key: str, rows: int, seed: int = 17) -> DataFr
     return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(rows)
 
 
+class Stages:
+    """Tables written to the shared folder and emptied again after their last reader.
+
+    Leaving the ``with`` block, also by an error, empties all but those that were handed to ``keep``.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.held: list[tuple[str, DataFrame | None]] = []
+
+    def __enter__(self) -> Stages:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop(*[path for path, _ in self.held])
+
+    def path(self, name: str) -> str:
+        """A new folder that is emptied with the rest."""
+        self.held.append((scratch_path(self.spark, name), None))
+        return self.held[-1][0]
+
+    def write(self, df: DataFrame) -> DataFrame:
+        path = self.path("stage")
+        df.write.parquet(path)
+        self.held[-1] = (path, self.spark.read.schema(df.schema).parquet(path))
+        return self.held[-1][1]
+
+    def _named(self, stages: tuple) -> list[str]:
+        return [path for path, df in self.held
+                if any(path == s if isinstance(s, str) else df is s for s in stages)]
+
+    def keep(self, *stages: DataFrame | str) -> None:
+        """Whoever gets the result reads these."""
+        kept = self._named(stages)
+        self.held = [(path, df) for path, df in self.held if path not in kept]
+
+    def drop(self, *stages: DataFrame | str) -> None:
+        """Overwrite with no rows, by Spark's own writer, whatever the file system."""
+        for path in self._named(stages):
+            self.spark.range(0).coalesce(1).write.mode("overwrite").parquet(path)
+        self.keep(*stages)
+
+
 def utf8_views(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bytes, starts, ends) of a text column without copying; a null text has start = end."""
     if isinstance(column, pa.ChunkedArray):

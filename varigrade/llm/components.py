@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varigrade.session import materialize
+from varigrade.llm.common import Stages
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -28,16 +28,19 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("u <> v").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, stages: Stages | None = None) -> DataFrame:
     """(u, v) edges of any direction to (vertex, label): the smallest id of each vertex's component.
 
-    Self-loops, repeats and nulls are ignored. Each step is a written table, so a lost executor costs one step.
+    Self-loops, repeats and nulls are ignored. Each step is a written table, so a lost executor costs one step. Only the last
+    one stays, for whoever owns ``stages`` to empty.
     """
-    state = materialize(edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"))
+    stages = stages or Stages(edges.sparkSession)
+    state = stages.write(edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"))
                         .filter("u <> v").distinct())
     seen = None
     while True:
-        state = materialize(_star(_star(state, large=True), large=False))
+        before, state = state, stages.write(_star(_star(state, large=True), large=False))
+        stages.drop(before)
         now = state.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break

@@ -8,17 +8,20 @@ never meet as pairs. Between classes the join is exact:
 * Two sets that reach the threshold share an n-gram among the first ``n - ceil(t n) + 1`` of each (prefix filter).
 * A shared n-gram makes a candidate only if set sizes (length filter), places in the order (positional filter) and the
   sizes of what follows in four hash ranges (suffix filter) leave room for the needed overlap.
-* Each candidate pair is verified once, on the whole sets.
+* Candidates meet by parity sketches first: bit ``i`` of a set's sketch tells whether an odd number of its n-grams hash to
+  ``i``. Bits in which two sketches differ are at most the n-grams the sets don't share, so too many of them rule the pair out.
+* Each pair left is verified once, on the whole sets.
 
 Only the components are asked for, so a pair is a candidate only while its ends are in different components. In
 each opening round a set meets one pivot, the smallest under that round's hash among those it shares a prefix n-gram
 with; a group of n near copies so costs about n verifications, not n squared. The closing round takes every candidate
 pair still between components, whatever their number, so no link is lost.
 
-What is shuffled per n-gram is the n-gram and its class alone; n-grams of one class are dropped there, and places and
-suffix sizes are worked out for the rest. The sets of classes that share a prefix n-gram are written once, bucketed by
-class, so the rounds join them without shuffling them again. Texts outside those classes are left out by a bitmap of fixed size
-before that shuffle; with very many classes it fills up and lets more through, which the join then drops.
+What is shuffled per n-gram is the n-gram and its class alone; n-grams of one class are dropped there. Places, suffix sizes
+and sketches (about 3 bits an n-gram) are worked out for classes that share a prefix n-gram. A whole set (48 bits an n-gram) is
+made again from the text only for a round that verifies it, in a table bucketed by class. Texts not wanted are left out by
+a bitmap of fixed size before those shuffles; with very many classes it fills up and lets more through, which the join
+then drops. Stages are emptied after their last reader.
 
 64-bit hashes stand for n-grams (their upper 48 bits where sets are compared), a 128-bit digest for a set, and its first half
 for a class. Two different n-grams of one pair are taken as equal with a chance of about set size squared / 2^48.
@@ -36,10 +39,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varigrade.llm.common import slices
+from varigrade.llm.common import Stages, slices
 from varigrade.llm.components import components
 from varigrade.llm.shingles import mix, shingle_sets
-from varigrade.session import materialize, scratch_path
 
 SKETCH_BITS = 22
 #: Counters that travel together, and partial sums that are added in one task.
@@ -55,8 +57,9 @@ _SHIFT = np.uint64(64 - SKETCH_BITS)
 _PROFILE = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()),
                       ("block", pa.int32()), ("salt", pa.int32()), ("counts", pa.binary())])
 _INDEX = pa.schema([("id", pa.int64()), ("tokens", pa.list_(pa.int64()))])
-_SETS = pa.schema([("doc_id", pa.int64()), ("set_id", pa.int64()), ("n", pa.int64()), ("grams", pa.binary()),
-                   ("tokens", pa.list_(pa.int64())), ("suffix", pa.list_(pa.int64()))])
+_MEMBERS = pa.schema([("doc_id", pa.int64()), ("set_id", pa.int64()), ("n", pa.int64()), ("parity", pa.binary()),
+                      ("tokens", pa.list_(pa.int64())), ("suffix", pa.list_(pa.int64()))])
+_SETS = pa.schema([("doc_id", pa.int64()), ("set_id", pa.int64()), ("grams", pa.binary())])
 
 
 def _ddl(schema: pa.Schema) -> str:
@@ -151,33 +154,77 @@ def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.unique(_slot(batch.column(0).to_numpy())))], names=["slot"])
 
 
-def _sets(width: int, percent: int, levels, bitmap):
-    """Set, prefix and suffix sizes of each document in the bitmap: of what follows a prefix n-gram, in four hash ranges."""
+def _wanted_sets(bitmap, width: int, schema: pa.Schema, row):
+    """``row(id, set)`` of each document in the bitmap that has a set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = np.frombuffer(levels.value, np.uint8)
         wanted = np.unpackbits(np.frombuffer(bitmap.value, np.uint8)).astype(bool)
-        places = np.array([1, 1 << 16, 1 << 32, 1 << 48], np.uint64).astype(np.int64)
         for batch in slices(batches):
             batch = batch.filter(batch.column(0).is_valid())
             if batch.num_rows:
                 batch = batch.filter(pa.array(wanted[_slot(batch.column(0).to_numpy())]))
-            rows = []
-            for ident, found in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), width)):
-                if len(found):
-                    order = _prefix(found, percent, level)
-                    part = (mix(found) >> np.uint64(62)).astype(np.int64)
-                    after = np.bincount(part, minlength=4)[None, :] - np.cumsum(
-                        part[order][:, None] == np.arange(4)[None, :], axis=0)
-                    rows.append((ident, _digest(found)[0], len(found), _narrow(found),
-                                 found[order].astype(np.int64), np.minimum(after, 0xFFFF) @ places))
+            rows = [row(ident, found) for ident, found in zip(
+                batch.column(0).to_pylist(), shingle_sets(batch.column(1), width)) if len(found)]
             if rows:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, f.type) for c, f in zip(zip(*rows), _SETS)], schema=_SETS)
+                    [pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     return run
 
 
+def _members(width: int, percent: int, levels, bitmap):
+    """Sketch, prefix and suffix sizes of wanted documents: of what follows a prefix n-gram, in four hash ranges."""
+    places = np.array([1, 1 << 16, 1 << 32, 1 << 48], np.uint64).astype(np.int64)
+
+    def row(ident: int, found: np.ndarray) -> tuple:
+        order = _prefix(found, percent, np.frombuffer(levels.value, np.uint8))
+        part = (mix(found) >> np.uint64(62)).astype(np.int64)
+        after = np.bincount(part, minlength=4)[None, :] - np.cumsum(part[order][:, None] == np.arange(4)[None, :], axis=0)
+        return (ident, _digest(found)[0], len(found), _parity(found), found[order].astype(np.int64),
+                np.minimum(after, 0xFFFF) @ places)
+
+    return _wanted_sets(bitmap, width, _MEMBERS, row)
+
+
+def _sets(width: int, bitmap):
+    return _wanted_sets(bitmap, width, _SETS, lambda ident, found: (ident, _digest(found)[0], _narrow(found)))
+
+
+def _parity(found: np.ndarray) -> bytes:
+    """Two to four bits an n-gram, 64 at least: whether an odd number of n-grams hash to each."""
+    bits = 1 << max(6, (2 * len(found) - 1).bit_length())
+    with np.errstate(over="ignore"):
+        at = (mix(found ^ np.uint64(0x3C6EF372FE94F82B)) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def _differing(one: bytes, other: bytes) -> int:
+    """Bits in which two sketches differ, the longer one folded to the length of the shorter."""
+    a, b = sorted((one, other), key=len)
+    x, y, size = int.from_bytes(a, "little"), int.from_bytes(b, "little"), 8 * len(b)
+    while size > 8 * len(a):
+        size //= 2
+        y = (y >> size) ^ (y & ((1 << size) - 1))
+    return (x ^ y).bit_count()
+
+
+def _alike(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sketches leave room for the needed overlap."""
+
+    def sides(name: str) -> DataFrame:
+        return members.select(F.col("id").alias(f"{name}_id"), F.col("n").alias(f"{name}_n"),
+                              F.col("parity").alias(f"{name}_parity"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*[batch.column(k).to_pylist() for k in range(2, 6)])
+            kept = [n + m - _differing(x, y) >= 2 * -(-percent * (n + m) // (100 + percent)) for n, m, x, y in rows]
+            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+    met = pairs.join(sides("a"), F.col("a") == F.col("a_id")).join(sides("b"), F.col("b") == F.col("b_id"))
+    return met.select("a", "b", "a_n", "b_n", "a_parity", "b_parity").mapInArrow(run, "a long, b long")
+
+
 def _narrow(found: np.ndarray) -> bytes:
     """The upper 48 bits of each n-gram."""
     return found.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
@@ -267,20 +314,38 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return members.groupBy("a", "slot").cogroup(pivots.groupBy("pivot", "part")).applyInArrow(check, "u long, v long")
 
 
-def _write_sets(source: DataFrame, active: DataFrame, table: str, width: int, percent: int, levels) -> None:
-    """The sets of active classes as a table bucketed by class, from the text of each class's first document."""
-    spark = source.sparkSession
-    slots = active.select("first_id").mapInArrow(_slots, "slot long").distinct().toArrow()  # at most 2**BITMAP_BITS
+def _bitmap(ids: DataFrame):
+    """A broadcast bitmap of ids, 2**BITMAP_BITS bits whatever their number."""
+    slots = ids.mapInArrow(_slots, "slot long").distinct().toArrow()  # at most 2**BITMAP_BITS
     bits = np.zeros(1 << BITMAP_BITS, bool)
     bits[slots.column("slot").to_numpy()] = True
-    bitmap = spark.sparkContext.broadcast(np.packbits(bits).tobytes())
-    made = source.mapInArrow(_sets(width, percent, levels, bitmap), _ddl(_SETS))
+    return ids.sparkSession.sparkContext.broadcast(np.packbits(bits).tobytes())
+
+
+def _write_sets(source: DataFrame, needed: DataFrame, table: str, path: str, width: int) -> None:
+    """The sets of needed classes as a table below ``path``, bucketed by class, from the text of each class's first document."""
+    spark = source.sparkSession
+    made = source.mapInArrow(_sets(width, _bitmap(needed.select("first_id"))), _ddl(_SETS))
     # repeated rows of an id give the same set again; harmless, as links are distinct. As a range, the second condition
     # leaves the join partitioned by class alone, as the buckets are, so each bucket is written by one task.
-    (made.join(active, (made.set_id == active.id) & made.doc_id.between(active.first_id, active.first_id))
-     .select("id", "n", "grams", "tokens", "suffix", "shared")
-     .write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
-     .option("path", scratch_path(spark, "sets")).saveAsTable(table))
+    (made.join(needed, (made.set_id == needed.id) & made.doc_id.between(needed.first_id, needed.first_id))
+     .select(F.col("id").alias("class_id"), "grams")
+     .write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "class_id")
+     .option("path", path).saveAsTable(table))
+
+
+def _links(stages: Stages, source: DataFrame, pairs: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs that reach the threshold, on whole sets made for these pairs and dropped again."""
+    spark = source.sparkSession
+    ends = pairs.select(F.col("a").alias("end")).union(pairs.select("b")).distinct()
+    needed = stages.write(members.join(ends, members.id == ends.end, "left_semi").select("id", "first_id").distinct())
+    table, path = f"ngram_sets_{uuid4().hex}", stages.path("sets")
+    try:
+        _write_sets(source, needed, table, path, width)
+        return stages.write(_verify(pairs, spark.table(table), percent))
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+        stages.drop(needed, path)
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -298,29 +363,38 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     """
     spark = docs.sparkSession
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    profile = materialize(source.mapInArrow(_profiles(width), _ddl(_PROFILE)))
+    with Stages(spark) as stages:
+        return _near_duplicates(stages, source, width, percent, rounds)
+
+
+def _near_duplicates(stages: Stages, source: DataFrame, width: int, percent: int, rounds: int) -> DataFrame:
+    spark = source.sparkSession
+    profile = stages.write(source.mapInArrow(_profiles(width), _ddl(_PROFILE)))
     documents = profile.filter("block is null").select("doc_id", "n", "d1", "d2")
     level = _levels(profile.filter("block is not null").select("block", "salt", "counts"))
     levels = spark.sparkContext.broadcast(level.tobytes())
 
-    classes = materialize(documents.filter("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(
+    classes = stages.write(documents.filter("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(
         F.min("doc_id").alias("first_id")))
-    index = materialize(source.mapInArrow(_prefixes(width, percent, levels), _ddl(_INDEX))).select(
-        "id", F.explode("tokens").alias("token"))
-    repeated = index.groupBy("token").count().filter("count > 1").select("token")
-    shared = materialize(index.join(repeated, "token", "left_semi"))
-    mixed = shared.groupBy("token").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter(
+    prefixes = stages.write(source.mapInArrow(_prefixes(width, percent, levels), _ddl(_INDEX)))
+    index = prefixes.select("id", F.explode("tokens").alias("token"))
+    mixed = index.groupBy("token").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter(
         "low <> high").select("token")
-    wanted = shared.join(mixed, "token", "left_semi").groupBy("id").agg(F.collect_set("token").alias("shared"))
-    active = materialize(wanted.join(classes, wanted.id == classes.d1).select("id", "first_id", "shared"))
-    table = f"ngram_sets_{uuid4().hex}"
-    _write_sets(source, active, table, width, percent, levels)
-    kept = spark.table(table)
-    postings = materialize(kept.select("id", "n", F.posexplode(F.arrays_zip("tokens", "suffix")).alias("pos", "it"),
-                                       "shared").filter(F.array_contains("shared", F.col("it.tokens"))).select(
-        F.col("it.tokens").alias("token"), "id", "n", F.col("pos").cast("long").alias("pos"),
-        F.col("it.suffix").alias("suffix")))
-    sets = kept.select(F.col("id").alias("class_id"), "grams")
+    wanted = index.join(mixed, "token", "left_semi").groupBy("id").agg(F.collect_set("token").alias("shared"))
+    active = stages.write(wanted.join(classes, wanted.id == classes.d1).select("id", "first_id", "shared"))
+    stages.drop(prefixes)
+    made = source.mapInArrow(_members(width, percent, levels, _bitmap(active.select("first_id"))), _ddl(_MEMBERS))
+    posting = F.transform("tokens", lambda token, i: F.struct(
+        token.alias("token"), i.cast("long").alias("pos"), F.get("suffix", i).alias("suffix")))
+    # repeated rows of an id give the same member again
+    members = stages.write(made.join(active, (made.set_id == active.id) & (made.doc_id == active.first_id))
+                           .groupBy("id", "first_id").agg(*[F.any_value(c).alias(c) for c in (
+                               "n", "parity", "tokens", "suffix", "shared")])
+                           .select("id", "first_id", "n", "parity",
+                                   F.filter(posting, lambda p: F.array_contains("shared", p["token"])).alias("postings")))
+    stages.drop(active)
+    postings = stages.write(members.select("id", "n", F.explode("postings").alias("p")).select(
+        "p.token", "id", "n", "p.pos", "p.suffix"))
 
     labels, edges, tested = None, None, None
     for turn in range(rounds + 1):
@@ -347,16 +421,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
         if tested is not None:
             found = found.join(tested, (F.least("a", "b") == tested.lo) & (F.greatest("a", "b") == tested.hi),
                                "left_anti")
-        pairs = materialize(found)
+        pairs = stages.write(_alike(found, members, percent))
         if pairs.isEmpty():
             continue
-        links = materialize(_verify(pairs, sets, percent))
+        links = _links(stages, source, pairs, members, width, percent)
         tested = _ordered(pairs) if tested is None else tested.union(_ordered(pairs))
         if not links.isEmpty():
             edges = links if edges is None else edges.union(links)
-            labels = components(edges)
+            labels = components(edges, stages)
 
-    spark.sql(f"DROP TABLE IF EXISTS {table}")
     keyed = [F.col("d.n") == F.col("c.n"), F.col("d.d1") == F.col("c.d1"), F.col("d.d2") == F.col("c.d2")]
     if labels is None:
         joined = classes.withColumn("label", F.col("d1"))
@@ -364,7 +437,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
         joined = classes.join(labels, classes.d1 == labels.vertex, "left").select(
             "n", "d1", "d2", "first_id", F.coalesce("label", "d1").alias("label"))
     smallest = joined.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    named = joined.join(smallest, "label").select("n", "d1", "d2", "first_id", "component_id")
+    named = stages.write(joined.join(smallest, "label").select("n", "d1", "d2", "first_id", "component_id"))
+    stages.keep(profile, named)
     return documents.alias("d").join(named.alias("c"), keyed, "left").select(
         "d.doc_id", F.col("d.n").alias("n_shingles"), F.when(F.col("d.doc_id").isNotNull(), F.coalesce("c.first_id", "d.doc_id")).alias("class_id"),
         F.when(F.col("d.doc_id").isNotNull(), F.coalesce("c.component_id", "d.doc_id")).alias("component_id"))
