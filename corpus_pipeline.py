@@ -23,14 +23,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component (five-word n-grams, similarity 0.8 or more): the smallest id.
 
-    Of repeated rows of an id one stays. Rows without an id are in no group and stay.
+    Of rows that share an id one stays, the one whose text has the smallest hash (ties: smaller text); only such rows are
+    shuffled for it. Rows without an id are in no group and stay.
     """
     found = ngram_join.near_duplicates(docs, width=5, percent=80)
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
-    named = docs.filter("doc_id is not null")
-    kept = named.join(gone, named.doc_id == F.col("_gone"), "left_anti").withColumn("_row", first).filter("_row = 1")
-    return kept.select(*docs.columns).union(docs.filter("doc_id is null"))
+    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct()
+    again = found.groupBy(F.col("doc_id").alias("id")).count().filter("count > 1").select("id")
+    same = F.col("d.doc_id") == F.col("f.id")
+    single = docs.alias("d").join(gone.union(again).alias("f"), same, "left_anti")
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text", F.to_json(F.struct("*")))
+    row = "_" + "_".join(docs.columns)  # no column has this name
+    first = (docs.alias("d").join(again.alias("f"), same, "left_semi").alias("d").join(gone.alias("f"), same, "left_anti")
+             .withColumn(row, F.row_number().over(order)).filter(F.col(row) == 1))
+    return single.select(*docs.columns).union(first.select(*docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
