@@ -53,12 +53,15 @@ ROUNDS = 2
 GROUP = 128
 #: Earlier n-grams that travel with a posting of the closing round.
 BEFORE = 32
+#: Columns of the 256-bit sketch that travels with a posting of the closing round.
+SHORT = ("s0", "s1", "s2", "s3")
 _SHIFT = np.uint64(64 - SKETCH_BITS)
 _PROFILE = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()),
                       ("block", pa.int32()), ("salt", pa.int32()), ("counts", pa.binary())])
 _INDEX = pa.schema([("id", pa.int64()), ("tokens", pa.list_(pa.int64()))])
 _MEMBERS = pa.schema([("doc_id", pa.int64()), ("set_id", pa.int64()), ("n", pa.int64()), ("parity", pa.binary()),
-                      ("tokens", pa.list_(pa.int64())), ("suffix", pa.list_(pa.int64()))])
+                      ("tokens", pa.list_(pa.int64())), ("suffix", pa.list_(pa.int64())),
+                      *[(f"s{k}", pa.int64()) for k in range(4)]])
 _SETS = pa.schema([("doc_id", pa.int64()), ("set_id", pa.int64()), ("grams", pa.binary())])
 
 
@@ -181,7 +184,7 @@ def _members(width: int, percent: int, levels, bitmap):
         part = (mix(found) >> np.uint64(62)).astype(np.int64)
         after = np.bincount(part, minlength=4)[None, :] - np.cumsum(part[order][:, None] == np.arange(4)[None, :], axis=0)
         return (ident, _digest(found)[0], len(found), _parity(found), found[order].astype(np.int64),
-                np.minimum(after, 0xFFFF) @ places)
+                np.minimum(after, 0xFFFF) @ places, *np.frombuffer(_parity(found, 256), "<i8").tolist())
 
     return _wanted_sets(bitmap, width, _MEMBERS, row)
 
@@ -190,9 +193,9 @@ def _sets(width: int, bitmap):
     return _wanted_sets(bitmap, width, _SETS, lambda ident, found: (ident, _digest(found)[0], _narrow(found)))
 
 
-def _parity(found: np.ndarray) -> bytes:
-    """Two to four bits an n-gram, 64 at least: whether an odd number of n-grams hash to each."""
-    bits = 1 << max(6, (2 * len(found) - 1).bit_length())
+def _parity(found: np.ndarray, bits: int = 0) -> bytes:
+    """Whether an odd number of n-grams hash to each of ``bits`` bits; by default two to four an n-gram, 64 at least."""
+    bits = bits or 1 << max(6, (2 * len(found) - 1).bit_length())
     with np.errstate(over="ignore"):
         at = (mix(found ^ np.uint64(0x3C6EF372FE94F82B)) & np.uint64(bits - 1)).astype(np.int64)
     return np.packbits(np.bincount(at, minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
@@ -248,11 +251,16 @@ def _candidate(percent: int):
             & (2 * room + (n - i - 1) + (m - j - 1) - gap >= 2 * need))
 
 
+def _short_sketch(x: str, y: str):
+    """Least number of n-grams that two sets don't share, by their 256-bit sketches."""
+    return sum(F.bit_count(F.col(f"{x}_s{k}").bitwiseXOR(F.col(f"{y}_s{k}"))) for k in range(4))
+
+
 def _between(postings: DataFrame, percent: int) -> DataFrame:
     """(token, x, y): pairs of components whose members' sizes and places leave room for a link.
 
     Where an n-gram has one member of either component, the pair is made at the first n-gram the two share, so nothing
-    before it can be shared and what follows must hold the whole overlap. Up to ``BEFORE`` earlier n-grams travel with a
+    before it can be shared and what follows must hold the whole overlap; their short sketches must leave room too. Up to ``BEFORE`` earlier n-grams travel with a
     posting; with more of them, or more members, the weaker bound holds and no pair is lost.
     """
     common = postings.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("held"))
@@ -260,20 +268,22 @@ def _between(postings: DataFrame, percent: int) -> DataFrame:
     listed = postings.join(common.select(F.col("id").alias("of"), F.col("held.token").alias("common")),
                            F.col("id") == F.col("of")).select(
         "token", "label", "n", "pos", F.slice("common", F.lit(1), F.least(place, F.lit(BEFORE)).cast("int")).alias("before"),
-        (place <= BEFORE).alias("whole"))
+        (place <= BEFORE).alias("whole"), *SHORT)
     held = listed.groupBy("token", "label").agg(
         F.min("n").alias("low"), F.max("n").alias("high"), F.max("pos").alias("ahead"),
         F.max(F.col("n") - F.col("pos")).alias("rest"), F.count(F.lit(1)).alias("members"),
-        F.any_value("before").alias("before"), F.bool_and("whole").alias("whole"))
+        F.any_value("before").alias("before"), F.bool_and("whole").alias("whole"),
+        *[F.any_value(c).alias(c) for c in SHORT])
 
     def side(name: str) -> DataFrame:
         return held.select("token", *[F.col(c).alias(f"{name}_{c}") for c in (
-            "label", "low", "high", "ahead", "rest", "members", "before", "whole")])
+            "label", "low", "high", "ahead", "rest", "members", "before", "whole", *SHORT)])
 
     need = F.ceil(percent * (F.col("x_low") + F.col("y_low")) / F.lit(100.0 + percent) - F.lit(1e-9))
     rest = F.least("x_rest", "y_rest")
     single = (F.col("x_members") == 1) & (F.col("y_members") == 1)
-    first = ~F.arrays_overlap("x_before", "y_before") & (~F.col("x_whole") | ~F.col("y_whole") | (rest >= need))
+    room = F.col("x_low") + F.col("y_low") - _short_sketch("x", "y") >= 2 * need
+    first = room & ~F.arrays_overlap("x_before", "y_before") & (~F.col("x_whole") | ~F.col("y_whole") | (rest >= need))
     left, right = side("x"), side("y").withColumnRenamed("token", "of")
     return left.join(right, (left.token == right.of) & (F.col("x_label") < F.col("y_label"))
                      & (100 * F.col("x_high") >= percent * F.col("y_low"))
@@ -282,8 +292,9 @@ def _between(postings: DataFrame, percent: int) -> DataFrame:
                      ).select("token", F.col("x_label").alias("x"), F.col("y_label").alias("y"))
 
 
-def _side(postings: DataFrame, name: str) -> DataFrame:
-    return postings.select("token", *[F.col(c).alias(f"{name}_{c}") for c in ("id", "n", "pos", "suffix", "label")])
+def _side(postings: DataFrame, name: str, *more: str) -> DataFrame:
+    return postings.select("token", *[
+        F.col(c).alias(f"{name}_{c}") for c in ("id", "n", "pos", "suffix", "label", *more)])
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -389,8 +400,8 @@ def _near_duplicates(stages: Stages, source: DataFrame, width: int, percent: int
     # repeated rows of an id give the same member again
     members = stages.write(made.join(active, (made.set_id == active.id) & (made.doc_id == active.first_id))
                            .groupBy("id", "first_id").agg(*[F.any_value(c).alias(c) for c in (
-                               "n", "parity", "tokens", "suffix", "shared")])
-                           .select("id", "first_id", "n", "parity",
+                               "n", "parity", "tokens", "suffix", "shared", *SHORT)])
+                           .select("id", "first_id", "n", "parity", *SHORT,
                                    F.filter(posting, lambda p: F.array_contains("shared", p["token"])).alias("postings")))
     stages.drop(active)
     postings = stages.write(members.select("id", "n", F.explode("postings").alias("p")).select(
@@ -414,10 +425,13 @@ def _near_duplicates(stages: Stages, source: DataFrame, width: int, percent: int
         else:
             # components that share an n-gram meet first, by what their members allow at best; then the members of
             # those that could hold a link. Pairs inside a component are never made.
+            here = here.join(members.select("id", *SHORT), "id")
+            need = F.ceil(percent * (F.col("a_n") + F.col("b_n")) / F.lit(100.0 + percent) - F.lit(1e-9))
             found = (_between(here, percent)
-                     .join(_side(here, "a").withColumnRenamed("a_label", "x"), ["token", "x"])
-                     .join(_side(here, "b").withColumnRenamed("b_label", "y"), ["token", "y"])
-                     .filter(_candidate(percent)).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct())
+                     .join(_side(here, "a", *SHORT).withColumnRenamed("a_label", "x"), ["token", "x"])
+                     .join(_side(here, "b", *SHORT).withColumnRenamed("b_label", "y"), ["token", "y"])
+                     .filter(_candidate(percent) & (F.col("a_n") + F.col("b_n") - _short_sketch("a", "b") >= 2 * need))
+                     .select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct())
         if tested is not None:
             found = found.join(tested, (F.least("a", "b") == tested.lo) & (F.greatest("a", "b") == tested.hi),
                                "left_anti")
