@@ -34,8 +34,12 @@ from varigrade.session import scratch_path
 BLOCK = 1 << 16
 MAGIC = b"VGPACK01"
 VOCABULARY = "byte_bpe_50k.json"
-#: Distinct text segments a Python worker remembers; bounds its memory at about 200 MB.
-REMEMBERED = 1_000_000
+#: Bytes of text segments and their ids that a Python worker remembers in each of two generations.
+REMEMBERED_BYTES = 128 << 20
+#: What a remembered segment takes besides its characters and ids: string head, table slots, places.
+SEGMENT_BYTES = 180
+#: Fresh segments that are encoded as one text.
+JOINED = 256
 _SEGMENT = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+\Z")
 _TAIL = np.dtype([("blocks", "<u8"), ("docs", "<u8"), ("ids", "<u8"), ("bits", "<u4"), ("block", "<u4"),
                   ("magic", "S8")])
@@ -148,55 +152,105 @@ class Reader:
         return np.concatenate(found) if found else np.zeros(0, np.uint32)
 
 
-class Segments:
-    """Ids of texts by way of their segments: white space with the non-space run after it.
-
-    The byte-level pattern never joins text across the start of a white-space run, so segments can be encoded one by one
-    and remembered. Ids come from the tokenizers library throughout.
-    """
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.bits = bits_for(self.tokenizer.get_vocab_size())
-        self._forget()
+class Remembered(dict):
+    """Places of segments by text; an unseen one takes the next place and is listed in ``fresh``."""
 
-    def _forget(self) -> None:
-        self.known: dict[str, int] = {"": 0}  # place 0 is the end-of-document id
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
         self.flat = np.zeros(1 << 16, np.uint32)
         self.first, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.length[0], self.used = 1, 1
-
-    def _learn(self, segments: set[str]) -> None:
-        core: dict[str, tuple[str, str]] = {}
-        for s in segments:
-            # a Latin word and one comma or full stop are two pieces of the pattern
-            core[s] = (s[:-1], s[-1]) if s[-1] in ",." and s[1:-1].isalpha() and s[0] == " " and max(s) < "ɐ" \
-                else (s, "")
-        wanted = sorted({part for pair in core.values() for part in pair if part})
-        ids = {w: e.ids for w, e in zip(wanted, self.tokenizer.encode_batch_fast(wanted, add_special_tokens=False))}
-        ids[""] = []
-        places, fresh = len(self.known), []
-        for s, (word, mark) in core.items():
-            self.known[s] = places
-            fresh.append(ids[word] + ids[mark])
-            places += 1
-        sizes = np.fromiter(map(len, fresh), np.int64, len(fresh))
-        total = int(sizes.sum())
-        while self.used + total > len(self.flat):
+        self.used = self.bytes = 0
+
+    def __missing__(self, segment: str) -> int:
+        place = self[segment] = len(self)
+        self.fresh.append(segment)
+        return place
+
+    def keep(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Ids of the fresh segments, one after the other."""
+        end, places = self.used + len(ids), len(self)
+        while end > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while places > len(self.first):
             self.first = np.concatenate([self.first, np.zeros_like(self.first)])
             self.length = np.concatenate([self.length, np.zeros_like(self.length)])
-        self.flat[self.used: self.used + total] = np.fromiter((i for x in fresh for i in x), np.uint32, total)
-        at = slice(places - len(fresh), places)
+        self.flat[self.used: end] = ids
+        at = slice(places - len(self.fresh), places)
         self.length[at] = sizes
         self.first[at] = self.used + np.cumsum(sizes) - sizes
-        self.used += total
+        self.used = end
+        self.bytes += SEGMENT_BYTES * len(self.fresh) + 2 * sum(map(len, self.fresh)) + 4 * len(ids)
+        self.fresh = []
+
+    def gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the segments at these places in a row, their counts)."""
+        sizes = self.length[at]
+        upto = np.cumsum(sizes)
+        source = np.repeat(self.first[at] - (upto - sizes), sizes) + np.arange(upto[-1] if len(upto) else 0)
+        return self.flat[source], sizes
+
+
+class Segments:
+    """Ids of texts by way of their segments: white space with the non-space run after it.
+
+    The byte-level pattern never joins text across the start of a white-space run, so segments can be encoded apart from
+    each other and remembered. Fresh segments go through the tokenizers library in few long texts; as a token's bytes are
+    known, the ids fall to segments by running length, and where a token would cross a border each segment is encoded alone.
+
+    Segments are remembered in two generations of ``limit`` bytes: a full one becomes the older one, whose ids are
+    taken over when they are met again and forgotten when the next one is full. A single batch may exceed the limit.
+    """
+
+    def __init__(self, path: str, limit: int = REMEMBERED_BYTES):
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        size = self.tokenizer.get_vocab_size()
+        self.bits = bits_for(size)
+        added = self.tokenizer.get_added_tokens_decoder()
+        # a character of a byte-level token stands for one byte
+        self.token_bytes = np.array([len(added[i].content.encode()) if i in added
+                                     else len(self.tokenizer.id_to_token(i) or "") for i in range(size)], np.int64)
+        self.older, self.newer = self._empty(), self._empty()
+
+    @staticmethod
+    def _empty() -> Remembered:
+        made = Remembered()
+        made[""]  # place 0 is the end-of-document id
+        made.keep(np.zeros(1, np.uint32), np.ones(1, np.int64))
+        return made
+
+    def _encode(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all segments, their counts)."""
+        groups = [segments[k: k + JOINED] for k in range(0, len(segments), JOINED)]
+        found = self.tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)
+        ids = np.array([i for e in found for i in e.ids], np.uint32)
+        borders = np.cumsum(np.fromiter((len(s.encode()) for s in segments), np.int64, len(segments)))
+        ends = np.cumsum(self.token_bytes[ids])
+        upto = np.searchsorted(ends, borders, "right")
+        if len(ends) and ends[-1] == borders[-1] and (upto > 0).all() and (ends[upto - 1] == borders).all():
+            return ids, np.diff(upto, prepend=0)
+        alone = [e.ids for e in self.tokenizer.encode_batch_fast(segments, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, alone), np.int64, len(alone))
+        return np.array([i for x in alone for i in x], np.uint32), sizes
+
+    def _learn(self) -> None:
+        fresh = self.newer.fresh
+        sizes = np.zeros(len(fresh), np.int64)
+        known = np.fromiter((self.older.get(s, -1) for s in fresh), np.int64, len(fresh))
+        again = known >= 0
+        old_ids, sizes[again] = self.older.gather(known[again])
+        ids, sizes[~again] = self._encode([s for s, k in zip(fresh, again) if not k]) if not again.all() \
+            else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        whole, old = np.zeros(len(ids) + len(old_ids), np.uint32), np.repeat(again, sizes)
+        whole[old], whole[~old] = old_ids, ids
+        self.newer.keep(whole, sizes)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with the end id; their counts)."""
+        if self.newer.bytes > self.limit:
+            self.older, self.newer = self.newer, self._empty()
         parts: list[str] = []
         ends = np.zeros(len(texts), np.int64)
         for k, text in enumerate(texts):
@@ -204,19 +258,13 @@ class Segments:
                 parts += _SEGMENT.findall(text)
             parts.append("")
             ends[k] = len(parts)
-        places = list(map(self.known.get, parts))
-        if None in places:
-            if len(self.known) > REMEMBERED:
-                self._forget()
-                places = list(map(self.known.get, parts))
-            self._learn({s for s, p in zip(parts, places) if p is None})
-            places = list(map(self.known.get, parts))
-        at = np.array(places, np.int64)
-        sizes = self.length[at]
+        at = np.fromiter(map(self.newer.__getitem__, parts), np.int64, len(parts))
+        if self.newer.fresh:
+            self._learn()
+        ids, sizes = self.newer.gather(at)
         upto = np.cumsum(sizes)
-        source = np.repeat(self.first[at] - (upto - sizes), sizes) + np.arange(upto[-1] if len(upto) else 0)
         last = upto[ends - 1] if len(ends) else np.zeros(0, np.int64)
-        return self.flat[source], np.diff(last, prepend=0)
+        return ids, np.diff(last, prepend=0)
 
 
 _encoders: dict[str, Segments] = {}
