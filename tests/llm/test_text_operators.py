@@ -351,6 +351,18 @@ def test_packing_round_trip(bits):
     assert (token_files.unpack(packed, 1003, bits) == ids).all()
 
 
+@pytest.mark.parametrize("limit", [20_000, token_files.REMEMBERED_BYTES])
+def test_segments_of_random_batches_have_the_library_ids(limit):
+    random_ = random.Random(3)
+    signs = [*"ab, .'s1\u00b2\u00e9\u3000\n\t", "<|endoftext|>", "1.", "\u2019s", " ,", "\u65e5\u672c", "\x1c", "\u0301", "  "]
+    segments = token_files.Segments(public_tokenizers.path(token_files.VOCABULARY), limit)
+    for _ in range(1000):
+        texts = ["".join(random_.choice(signs) for _ in range(random_.randrange(25))) for _ in range(4)] + [None]
+        alone = [segments.tokenizer.encode(t or "", add_special_tokens=False).ids + [0] for t in texts]
+        ids, counts = segments.encode(texts)
+        assert ids.tolist() == sum(alone, []) and counts.tolist() == list(map(len, alone))
+
+
 def test_token_files_hold_the_library_ids(spark):
     from tokenizers import Tokenizer
 

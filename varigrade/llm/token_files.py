@@ -20,6 +20,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +36,14 @@ BLOCK = 1 << 16
 MAGIC = b"VGPACK01"
 VOCABULARY = "byte_bpe_50k.json"
 #: Bytes of text segments and their ids that a Python worker remembers in each of two generations.
-REMEMBERED_BYTES = 128 << 20
+REMEMBERED_BYTES = 160 << 20
 #: What a remembered segment takes besides its characters and ids: string head, table slots, places.
 SEGMENT_BYTES = 180
 #: Fresh segments that are encoded as one text.
 JOINED = 256
 _SEGMENT = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+\Z")
+_PLAIN_SEGMENT = re.compile(r"\s*\S+|\s+\Z")  # the same where none of the four separators occurs
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
 _TAIL = np.dtype([("blocks", "<u8"), ("docs", "<u8"), ("ids", "<u8"), ("bits", "<u4"), ("block", "<u4"),
                   ("magic", "S8")])
 _MANIFEST = pa.schema([("part", pa.int64()), ("file", pa.string()), ("docs", pa.int64()), ("ids", pa.int64())])
@@ -196,7 +199,8 @@ class Segments:
 
     The byte-level pattern never joins text across the start of a white-space run, so segments can be encoded apart from
     each other and remembered. Fresh segments go through the tokenizers library in few long texts; as a token's bytes are
-    known, the ids fall to segments by running length, and where a token would cross a border each segment is encoded alone.
+    known, the ids fall to segments by running length. The first segment of a text without white space before it, and white space
+    at the end of a text, are texts of their own there; should a token cross a border all the same, each segment is one.
 
     Segments are remembered in two generations of ``limit`` bytes: a full one becomes the older one, whose ids are
     taken over when they are met again and forgotten when the next one is full. A single batch may exceed the limit.
@@ -223,10 +227,21 @@ class Segments:
 
     def _encode(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all segments, their counts)."""
-        groups = [segments[k: k + JOINED] for k in range(0, len(segments), JOINED)]
-        found = self.tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)
-        ids = np.array([i for e in found for i in e.ids], np.uint32)
-        borders = np.cumsum(np.fromiter((len(s.encode()) for s in segments), np.int64, len(segments)))
+        texts, held = [], []
+        for s in segments:
+            if s[0].isspace() and not s[-1].isspace() and not "\x1c" <= s[0] <= "\x1f":
+                held.append(s)
+                if len(held) < JOINED:
+                    continue
+            if held:
+                texts.append("".join(held))
+            if not held or held[-1] is not s:  # might join with its neighbours: no white space first, or last
+                texts.append(s)
+            held = []
+        texts.append("".join(held))
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        ids = np.fromiter(chain.from_iterable(e.ids for e in found), np.uint32)
+        borders = np.cumsum(np.fromiter(map(len, map(str.encode, segments)), np.int64, len(segments)))
         ends = np.cumsum(self.token_bytes[ids])
         upto = np.searchsorted(ends, borders, "right")
         if len(ends) and ends[-1] == borders[-1] and (upto > 0).all() and (ends[upto - 1] == borders).all():
@@ -238,7 +253,7 @@ class Segments:
     def _learn(self) -> None:
         fresh = self.newer.fresh
         sizes = np.zeros(len(fresh), np.int64)
-        known = np.fromiter((self.older.get(s, -1) for s in fresh), np.int64, len(fresh))
+        known = np.fromiter(map(self.older.get, fresh, repeat(-1)), np.int64, len(fresh))
         again = known >= 0
         old_ids, sizes[again] = self.older.gather(known[again])
         ids, sizes[~again] = self._encode([s for s, k in zip(fresh, again) if not k]) if not again.all() \
@@ -255,7 +270,8 @@ class Segments:
         ends = np.zeros(len(texts), np.int64)
         for k, text in enumerate(texts):
             if text:
-                parts += _SEGMENT.findall(text)
+                pattern = _SEGMENT if any(c in text for c in _SEPARATORS) else _PLAIN_SEGMENT
+                parts += pattern.findall(text)
             parts.append("")
             ends[k] = len(parts)
         at = np.fromiter(map(self.newer.__getitem__, parts), np.int64, len(parts))
