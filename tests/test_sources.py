@@ -104,3 +104,17 @@ def test_label_map(spark, tmp_path):
     path = str(tmp_path / "map")
     sinks.sink_label_map(spark.createDataFrame([(1, "b"), (0, "a")], "id int, value string"), path)
     assert [r.value for r in spark.read.text(path).collect()] == ["0: a", "1: b"]
+
+
+def test_tables_are_read_by_header_and_faults_counted(spark, tmp_path):
+    path = tmp_path / "table.tsv"
+    path.write_text("extra\t Stop \tName\n1\t12\tkatG\n2\tx\t rpoB \n3\t\t\n4\tx\n5\t6\t7\t8\n6\t13.5\tinhA\n")
+    rows, rejected = readers.scan_by_header(spark, str(path), {"Name": "string", "Stop": "bigint"})
+    assert sorted(map(tuple, rows.collect()), key=str) == [("katG", 12), (None, None)]
+    found = {(r.column, r.value): r.n for r in rejected.collect()}
+    assert found == {("Stop", "x"): 1, ("Stop", "13.5"): 1, ("line", "4\tx"): 1, ("line", "5\t6\t7\t8"): 1}
+    with pytest.raises(ValueError, match="Start"):
+        readers.scan_by_header(spark, str(path), {"Start": "bigint"})
+    path.write_text("Name\n")
+    empty = readers.scan_by_header(spark, str(path), {"Name": "string"})
+    assert [part.count() for part in empty] == [0, 0]

@@ -47,6 +47,33 @@ def trim_headers(t):
     return readers.scan_tsv_by_name(t.spark, path, {"Start": "bigint", "Stop": "bigint", "Name": "string"})
 
 
+def _ragged(t) -> str:
+    """All parts as a tab-separated table with blanks in its headers, columns nobody asks for, bad prices and lines cut or too long."""
+    path, header = t.scratch("ragged"), "p_name\t p_retailprice \tp_partkey \tp_size"
+    price = F.when(F.expr("p_size % 7 = 0"), "n/a").otherwise(F.col("p_retailprice").cast("string"))
+    line = F.concat_ws("\t", "p_name", price, "p_partkey", "p_size")
+    cut, longer = F.concat_ws("\t", "p_name", price), F.concat_ws("\t", line, F.lit("more"))
+    shaped = F.when(F.expr("p_size % 11 = 0"), cut).when(F.expr("p_size % 11 = 1"), longer).otherwise(line)
+    t["part"].select(shaped.alias(header)).write.csv(
+        path, sep="\x01", header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return path
+
+
+_PRICES = {"p_partkey": "bigint", "p_retailprice": "double"}
+
+
+@query("SELECT p_partkey, p_retailprice FROM part WHERE p_size % 11 > 1 AND p_size % 7 <> 0")
+def scan_by_header(t):
+    return readers.scan_by_header(t.spark, _ragged(t), _PRICES)[0]
+
+
+@query("""SELECT CASE WHEN p_size % 11 <= 1 THEN 'line' ELSE 'p_retailprice' END AS "column", count(*) AS n FROM part
+    WHERE p_size % 11 <= 1 OR p_size % 7 = 0 GROUP BY ALL""")
+def scan_rejected(t):
+    rejected = readers.scan_by_header(t.spark, _ragged(t), _PRICES)[1]
+    return rejected.groupBy("column").agg(F.sum("n").alias("n"))
+
+
 @query("SELECT * FROM measured")
 def sink_parquet(t):
     path = t.scratch("measured")

@@ -82,6 +82,40 @@ def scan_tsv_by_name(spark: SparkSession, path: str, columns: dict[str, str]) ->
         F.col(f"`{name}`").try_cast(kind).alias(name) for name, kind in columns.items()]))
 
 
+def scan_by_header(spark: SparkSession, path: str, columns: dict[str, str], sep: str = "\t") -> tuple[DataFrame, DataFrame]:
+    """(rows, rejected) of a delimited table with headers: the named columns in their types, and what could not be read.
+
+    Columns are found by their header, blanks around it dropped, wherever they stand; others are ignored and a missing one raises.
+    A line with too few or too many fields, or with a value that its type can't hold, is left out of ``rows`` whole. Empty
+    fields and NaN are null, not faults. ``rejected`` counts the faults as (column, value, n), most frequent first; a line of the
+    wrong width counts under the column ``line``. Files of one folder must have the same header. An empty table gives two.
+    """
+    headers = spark.read.csv(path, sep=sep, header=True, inferSchema=False).columns
+    places = {name.strip(): f"f{k}" for k, name in enumerate(headers)}
+    missing = [name for name in columns if name not in places]
+    if missing:
+        raise ValueError(f"no column {', '.join(missing)} among {', '.join(places)}")
+    schema = ", ".join([*(f"f{k} string" for k in range(len(headers))), "_line string"])
+    # without pruning, so that the fields of each line are counted
+    raw = spark.read.schema(schema).option("columnPruning", False).csv(
+        path, sep=sep, header=True, enforceSchema=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_line")
+
+    def text(name: str) -> Column:
+        return F.trim(F.col(places[name]))
+
+    def fault(name: str, kind: str) -> Column:
+        bad = text(name).isNotNull() & (text(name) != "") & text(name).try_cast(kind).isNull()
+        return F.when(bad, F.struct(F.lit(name).alias("column"), text(name).alias("value")))
+
+    whole = F.when(F.col("_line").isNotNull(), F.array(F.struct(F.lit("line").alias("column"), F.col("_line").alias("value"))))
+    single = F.array_compact(F.array(*[fault(name, kind) for name, kind in columns.items()]))
+    read = raw.select("*", F.coalesce(whole, single).alias("_faults"))
+    rows = read.filter(F.size("_faults") == 0).select(*[
+        (text(name) if kind == "string" else text(name).try_cast(kind)).alias(name) for name, kind in columns.items()])
+    faults = read.select(F.explode("_faults").alias("fault")).groupBy("fault.column", "fault.value")
+    return nan_to_null(rows), faults.agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "column", "value")
+
+
 def choose_files(names: Sequence[str] | None = None, everything: bool = False) -> list[str]:
     """Release files by name or name prefix (first match), all of them, or the three the jobs need."""
     if everything:
