@@ -3,9 +3,10 @@
 import numpy as np
 import pytest
 from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from varigrade.operators import components
+from varigrade.operators import components, networks
 
 SCHEMA = T.StructType([T.StructField("id", T.LongType()), T.StructField("features", VectorUDT())])
 
@@ -62,3 +63,38 @@ def test_awkward_tables(spark):
     assert len(found.values) == 2 and found.ratios.sum() == pytest.approx(1)
     points = {r.id: r.projection for r in found.project(table(spark, some)).collect()}
     assert set(points) == {0, 2, 3} and len(points[0]) == 2
+
+@pytest.mark.parametrize("direct", [True, False])
+def test_one_pass_gives_all_products(spark, monkeypatch, direct):
+    rng = np.random.default_rng(3)
+    kinds = rng.integers(0, 150, 3000)
+    x = np.zeros((3000, 300))
+    x[np.arange(3000), kinds] = 1  # rarely filled, never together
+    x[np.arange(3000), 150 + kinds // 2 * 2 % 140] = 2  # rarely filled, together with those
+    x[:, 290:] = rng.normal(size=(3000, 10)) + 5
+    x = x.astype(np.float32).astype(np.float64)
+
+    def no_pass(*given):
+        raise AssertionError("a pass over the rows for a block of directions")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(components, "products", no_pass)
+        if not direct:
+            patch.setattr(components, "DIRECT_WIDTH", 0)
+        found = components.fit_components(table(spark, x), components=20)
+        kept = components.components_for(table(spark, x), 0.9)
+    ratios, _ = dense(x)
+    assert found.ratios == pytest.approx(ratios[:20], abs=1e-8)
+    assert len(kept.values) == int(np.argmax(np.cumsum(ratios) >= 0.9)) + 1
+    monkeypatch.setattr(components, "gram", lambda *given: None)
+    plain = components.fit_components(table(spark, x), components=20)
+    assert plain.ratios == pytest.approx(found.ratios, abs=1e-8)
+    monkeypatch.undo()
+    scale = networks.Scale(x.mean(axis=0), np.where(x.std(axis=0) > 0, x.std(axis=0), 1.0))
+    blocks = networks.blocks_of(table(spark, x), "features", (), F.lit(0.0), F.lit(1.0), F.lit(-1), F.lit(False), 1)
+    z = (x - scale.mean) / scale.deviation
+    made = components.gram(blocks, scale, len(x))
+    assert made.dense() == pytest.approx(z.T @ z, abs=1e-6)
+    assert made @ np.eye(300)[:, :40] == pytest.approx((z.T @ z)[:, :40], abs=1e-6)
+    monkeypatch.setattr(components, "TABLE", 10)
+    assert components.gram(blocks, scale, len(x)) is None
