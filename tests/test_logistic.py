@@ -73,3 +73,12 @@ def test_components_are_fitted_without_dense_rows(rows, monkeypatch):
 def test_nothing_to_fit_on(rows):
     with pytest.raises(ValueError, match="no labelled rows"):
         models.logreg_classify().fit(models.labelled(rows.filter("false"), "ppv_bin"))
+
+
+def test_what_is_constant_in_training_has_no_coefficient(rows):
+    """0.1 in all training rows: sums of its squares leave a rounding error that is no deviation."""
+    x = F.when(F.col("fold") == 0, 5.0).otherwise(0.1).alias("x")
+    given = models.columns_to_vector(rows.select("ppv_bin", "fold", "mutation_key", x, "has_exact_mic", "has_variant_mic"),
+                                     (*models.BASELINE_DROP, "fold"))
+    model = models.logreg_classify().fit_folds(models.labelled(given, "ppv_bin"), F.col("fold"), 1)[0].stages[0]
+    assert model.getOrDefault(model.coefficients)[0] == [0.0] * 5
