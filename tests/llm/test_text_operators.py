@@ -85,6 +85,28 @@ def test_near_duplicates_equal_brute_force(spark, width, percent):
     assert {r.doc_id: r.n_shingles for r in found} == dict(zip(order, map(len, sets)))
 
 
+def test_pairs_of_a_large_group_of_near_copies_grow_with_its_size(spark, monkeypatch):
+    rng = random.Random(3)
+    base = [f"w{k}" for k in range(160)]
+    texts = []
+    for _ in range(300):  # a tenth of all pairs links, a few copies link with none
+        words = list(base)
+        for k in rng.sample(range(160), rng.randint(1, 4)):
+            words[k] = f"n{rng.randrange(10 ** 9)}"
+        texts.append(" ".join(words))
+    made, alike = [], ngram_join._alike
+
+    def counted(pairs, *more):
+        made.append(pairs.count())
+        return alike(pairs, *more)
+
+    monkeypatch.setattr(ngram_join, "_alike", counted)
+    found = ngram_join.near_duplicates(make(spark, texts), 4, 85).collect()
+    sets = brute_sets(texts, 4)
+    assert {r.doc_id: r.component_id for r in found} == dict(enumerate(brute_components(range(300), sets, 85)))
+    assert sum(made) < 5 * 300
+
+
 def test_near_duplicates_of_nothing_and_of_repeated_rows(spark):
     assert ngram_join.near_duplicates(make(spark, ["a"]).filter("false")).count() == 0
     twice = make(spark, ["a b c d e f", "a b c d e f", "a b c d e f"], [4, 4, None])

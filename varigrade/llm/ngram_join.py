@@ -7,15 +7,18 @@ never meet as pairs. Between classes the join is exact:
   whose size doesn't depend on the corpus. The counters only choose the order; any common order gives the same links.
 * Two sets that reach the threshold share an n-gram among the first ``n - ceil(t n) + 1`` of each (prefix filter).
 * A shared n-gram makes a candidate only if set sizes (length filter), places in the order (positional filter) and the
-  sizes of what follows in four hash ranges (suffix filter) leave room for the needed overlap.
+  sizes of what follows in four hash ranges (suffix filter) leave room for the needed overlap, were it the first n-gram the
+  two share. A linked pair passes at the first it does share, so none is lost.
 * Candidates meet by parity sketches first: bit ``i`` of a set's sketch tells whether an odd number of its n-grams hash to
   ``i``. Bits in which two sketches differ are at most the n-grams the sets don't share, so too many of them rule the pair out.
 * Each pair left is verified once, on the whole sets.
 
 Only the components are asked for, so a pair is a candidate only while its ends are in different components. In
-each opening round a set meets one pivot, the smallest under that round's hash among those it shares a prefix n-gram
-with; a group of n near copies so costs about n verifications, not n squared. The closing round takes every candidate
-pair still between components, whatever their number, so no link is lost.
+each opening round a set meets one pivot. The pivot of an n-gram is the set that has it earliest in the order (ties: that
+round's hash): with the fewest n-grams of its own ahead it is nearest to all its copies. A group of n near copies so costs
+about n verifications, not n squared. The closing round takes every candidate pair still between components, whatever
+their number, so no link is lost. There the members of an n-gram's largest component don't meet each other, and a pair
+becomes a row only if all filters and a 256-bit sketch let it.
 
 What is shuffled per n-gram is the n-gram and its class alone; n-grams of one class are dropped there. Places, suffix sizes
 and sketches (about 3 bits an n-gram) are worked out for classes that share a prefix n-gram. A whole set (48 bits an n-gram) is
@@ -51,8 +54,6 @@ BITMAP_BITS = 22
 ROUNDS = 2
 #: Members verified together against one pivot; bounds what a task holds.
 GROUP = 128
-#: Earlier n-grams that travel with a posting of the closing round.
-BEFORE = 32
 #: Columns of the 256-bit sketch that travels with a posting of the closing round.
 SHORT = ("s0", "s1", "s2", "s3")
 _SHIFT = np.uint64(64 - SKETCH_BITS)
@@ -219,7 +220,7 @@ def _alike(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
                               F.col("parity").alias(f"{name}_parity"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = zip(*[batch.column(k).to_pylist() for k in range(2, 6)])
             kept = [n + m - _differing(x, y) >= 2 * -(-percent * (n + m) // (100 + percent)) for n, m, x, y in rows]
             yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
@@ -239,16 +240,19 @@ def _wide(data: bytes) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
+def _need(percent: int):
+    """Least overlap of linked sets of sizes ``a_n`` and ``b_n``."""
+    return F.ceil(percent * (F.col("a_n") + F.col("b_n")) / F.lit(100.0 + percent) - F.lit(1e-9))
+
+
 def _candidate(percent: int):
-    """Length, positional and suffix filters between the postings ``a_*`` and ``b_*`` of one n-gram."""
+    """Length, positional and suffix filters between the postings ``a_*`` and ``b_*`` of the first n-gram two sets share."""
     n, m, i, j = F.col("a_n"), F.col("b_n"), F.col("a_pos"), F.col("b_pos")
-    need = F.ceil(percent * (n + m) / F.lit(100.0 + percent) - F.lit(1e-9))
     gap = sum(F.abs(F.shiftrightunsigned("a_suffix", 16 * k).bitwiseAND(F.lit(0xFFFF))
                     - F.shiftrightunsigned("b_suffix", 16 * k).bitwiseAND(F.lit(0xFFFF))) for k in range(4))
-    room = F.least(i, j) + 1
     return ((100 * n >= percent * m) & (100 * m >= percent * n)
-            & (room + F.least(n - i, m - j) - 1 >= need)
-            & (2 * room + (n - i - 1) + (m - j - 1) - gap >= 2 * need))
+            & (F.least(n - i, m - j) >= _need(percent))
+            & ((n - i) + (m - j) - gap >= 2 * _need(percent)))
 
 
 def _short_sketch(x: str, y: str):
@@ -256,47 +260,29 @@ def _short_sketch(x: str, y: str):
     return sum(F.bit_count(F.col(f"{x}_s{k}").bitwiseXOR(F.col(f"{y}_s{k}"))) for k in range(4))
 
 
-def _between(postings: DataFrame, percent: int) -> DataFrame:
-    """(token, x, y): pairs of components whose members' sizes and places leave room for a link.
-
-    Where an n-gram has one member of either component, the pair is made at the first n-gram the two share, so nothing
-    before it can be shared and what follows must hold the whole overlap; their short sketches must leave room too. Up to ``BEFORE`` earlier n-grams travel with a
-    posting; with more of them, or more members, the weaker bound holds and no pair is lost.
-    """
-    common = postings.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("held"))
-    place = F.array_position("common", F.col("token")) - 1
-    listed = postings.join(common.select(F.col("id").alias("of"), F.col("held.token").alias("common")),
-                           F.col("id") == F.col("of")).select(
-        "token", "label", "n", "pos", F.slice("common", F.lit(1), F.least(place, F.lit(BEFORE)).cast("int")).alias("before"),
-        (place <= BEFORE).alias("whole"), *SHORT)
-    held = listed.groupBy("token", "label").agg(
-        F.min("n").alias("low"), F.max("n").alias("high"), F.max("pos").alias("ahead"),
-        F.max(F.col("n") - F.col("pos")).alias("rest"), F.count(F.lit(1)).alias("members"),
-        F.any_value("before").alias("before"), F.bool_and("whole").alias("whole"),
-        *[F.any_value(c).alias(c) for c in SHORT])
-
-    def side(name: str) -> DataFrame:
-        return held.select("token", *[F.col(c).alias(f"{name}_{c}") for c in (
-            "label", "low", "high", "ahead", "rest", "members", "before", "whole", *SHORT)])
-
-    need = F.ceil(percent * (F.col("x_low") + F.col("y_low")) / F.lit(100.0 + percent) - F.lit(1e-9))
-    rest = F.least("x_rest", "y_rest")
-    single = (F.col("x_members") == 1) & (F.col("y_members") == 1)
-    room = F.col("x_low") + F.col("y_low") - _short_sketch("x", "y") >= 2 * need
-    first = room & ~F.arrays_overlap("x_before", "y_before") & (~F.col("x_whole") | ~F.col("y_whole") | (rest >= need))
-    left, right = side("x"), side("y").withColumnRenamed("token", "of")
-    return left.join(right, (left.token == right.of) & (F.col("x_label") < F.col("y_label"))
-                     & (100 * F.col("x_high") >= percent * F.col("y_low"))
-                     & (100 * F.col("y_high") >= percent * F.col("x_low"))
-                     & (F.least("x_ahead", "y_ahead") + rest >= need) & (~single | first)
-                     ).select("token", F.col("x_label").alias("x"), F.col("y_label").alias("y"))
-
-
 def _side(postings: DataFrame, name: str, *more: str) -> DataFrame:
     return postings.select("token", *[
         F.col(c).alias(f"{name}_{c}") for c in ("id", "n", "pos", "suffix", "label", *more)])
 
 
+def _across(postings: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of sets in different components that may link.
+
+    Of two sets in different components one at least is outside the n-gram's largest component, so only those outside
+    meet all others.
+    """
+    sizes = postings.groupBy("token", "label").agg(F.count(F.lit(1)).alias("members"))
+    largest = sizes.groupBy("token").agg(F.max(F.struct("members", "label")).alias("p")).select(
+        "token", F.col("p.label").alias("largest"))
+    held = postings.join(largest, "token")
+    left = _side(held.filter("label <> largest"), "a", *SHORT)
+    right = _side(held, "b", "largest", *SHORT).withColumnRenamed("token", "of")
+    room = F.col("a_n") + F.col("b_n") - _short_sketch("a", "b") >= 2 * _need(percent)
+    once = (F.col("b_label") == F.col("b_largest")) | (F.col("a_id") < F.col("b_id"))
+    met = (left.token == right.of) & (F.col("a_label") != F.col("b_label")) & once & _candidate(percent) & room
+    return left.join(right, met).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Keep the pairs that reach the threshold. A pivot ``a`` travels once per ``GROUP`` of its partners."""
     slot = F.pmod(F.xxhash64("b"), F.ceil(F.col("partners") / GROUP))
@@ -416,26 +402,19 @@ def _near_duplicates(stages: Stages, source: DataFrame, width: int, percent: int
             "low <> high").select("token")
         here = here.join(mixed, "token", "left_semi")
         if turn < rounds:
-            pivot = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "n", "pos", "suffix", "label"))
+            pivot = F.min(F.struct("pos", F.xxhash64("id", F.lit(turn)).alias("h"), "id", "n", "suffix", "label"))
             pivots = here.groupBy("token").agg(pivot.alias("p")).select("token", *[
-                F.col(f"p.{c}").alias(f"a_{c}") for c in ("h", "id", "n", "pos", "suffix", "label")])
+                F.col(f"p.{c}").alias(f"a_{c}") for c in ("pos", "h", "id", "n", "suffix", "label")])
             found = (_side(here, "b").join(pivots, "token").filter("a_label <> b_label").filter(_candidate(percent))
-                     .groupBy(F.col("b_id").alias("b")).agg(F.min(F.struct("a_h", "a_id")).alias("p"))
+                     .groupBy(F.col("b_id").alias("b")).agg(F.min(F.struct("a_pos", "a_h", "a_id")).alias("p"))
                      .select(F.col("p.a_id").alias("a"), "b"))
         else:
-            # components that share an n-gram meet first, by what their members allow at best; then the members of
-            # those that could hold a link. Pairs inside a component are never made.
-            here = here.join(members.select("id", *SHORT), "id")
-            need = F.ceil(percent * (F.col("a_n") + F.col("b_n")) / F.lit(100.0 + percent) - F.lit(1e-9))
-            found = (_between(here, percent)
-                     .join(_side(here, "a", *SHORT).withColumnRenamed("a_label", "x"), ["token", "x"])
-                     .join(_side(here, "b", *SHORT).withColumnRenamed("b_label", "y"), ["token", "y"])
-                     .filter(_candidate(percent) & (F.col("a_n") + F.col("b_n") - _short_sketch("a", "b") >= 2 * need))
-                     .select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct())
-        if tested is not None:
+            found = _across(here.join(members.select("id", *SHORT), "id"), percent)
+        found = _alike(found, members, percent)
+        if tested is not None:  # after the sketches: Spark would move it below the aggregate, to a row for each shared n-gram
             found = found.join(tested, (F.least("a", "b") == tested.lo) & (F.greatest("a", "b") == tested.hi),
                                "left_anti")
-        pairs = stages.write(_alike(found, members, percent))
+        pairs = stages.write(found)
         if pairs.isEmpty():
             continue
         links = _links(stages, source, pairs, members, width, percent)
