@@ -1,7 +1,12 @@
 """Queries fit on all their rows, with all epochs and components."""
 
+from urllib.parse import urlparse
+
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import functions as F
 from test_boosting import SETTINGS, encoded, scores_of
 from test_boosting import table as boosted_rows  # noqa: F401
 from test_components import dense, table
@@ -9,6 +14,7 @@ from test_components import dense, table
 from varigrade.operators import boosting, components, networks
 from varigrade.plans import evaluation, queries_models
 from varigrade.plans.catalog import QUERIES
+from varigrade.session import materialize
 
 
 class Asked(Exception):
@@ -69,3 +75,29 @@ def test_all_components(spark, monkeypatch, direct):
 def test_pca_explained_gives_all_components(asked):
     given, named = asked(components, "fit_components", "pca_explained")
     assert len(given) == 1 and not named
+
+
+@pytest.mark.parametrize("module", [networks, boosting])
+def test_packed_blocks_lie_in_small_row_groups(spark, monkeypatch, module):
+    """A task reads a row group at once, whatever the number of blocks in its part."""
+    files = []
+
+    def kept(df, **how):
+        out = materialize(df, **how)
+        files.extend(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(module, "materialize", kept)
+    monkeypatch.setattr(module, "BLOCK", 1000)
+    numbers = F.transform(F.sequence(F.lit(1), F.lit(600)), lambda k: F.pmod(F.xxhash64("id", k), F.lit(100_003)).cast("double"))
+    rows = spark.range(0, 12_000, 1, 1).select("id", numbers.alias("x"), F.lit(1.0).alias("weight"),
+                                               (F.col("id") % 2).cast("int").alias("fold"))
+    if module is networks:
+        vectors = rows.select(array_to_vector("x").alias("x"))
+        module.blocks_of(vectors, "x", (), F.lit(0.0), F.lit(1.0), F.lit(0), F.lit(False), 1)
+    else:
+        wide = rows.select("x", "weight", "fold", (F.col("id") % 2).cast("int").alias("label"))
+        module.fit_boosters(wide, [boosting.Setting("a", rounds=1, depth=1)], "label", "weight", [], folds=2, classes=2)
+    groups = [pq.ParquetFile(urlparse(f).path).metadata for f in files]
+    sizes = [m.row_group(k).total_byte_size for m in groups for k in range(m.num_row_groups)]
+    assert sum(sizes) > 13e6 and max(sizes) < 12e6
