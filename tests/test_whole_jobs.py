@@ -101,3 +101,12 @@ def test_packed_blocks_lie_in_small_row_groups(spark, monkeypatch, module):
     groups = [pq.ParquetFile(urlparse(f).path).metadata for f in files]
     sizes = [m.row_group(k).total_byte_size for m in groups for k in range(m.num_row_groups)]
     assert sum(sizes) > 13e6 and max(sizes) < 12e6
+
+
+def test_sums_of_passes_are_added_up_by_slices(spark, monkeypatch):
+    monkeypatch.setattr(networks, "SLICE", 7)
+    parts = spark.sparkContext.parallelize(range(50), 50)
+    one = np.random.default_rng(1).normal(size=(3, 9))
+    assert networks._summed(parts.map(lambda k: one * k)) == pytest.approx(one * 1225)
+    assert networks._summed(parts.map(lambda k: one * k if k == 3 else np.zeros((0, 0)))).tolist() == (one * 3).tolist()
+    assert networks._summed(parts.map(lambda k: np.zeros((0, 0)))).shape == (0, 0)
