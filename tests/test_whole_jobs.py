@@ -1,5 +1,6 @@
 """Queries fit on all their rows, with all epochs and components."""
 
+from unittest.mock import MagicMock
 from urllib.parse import urlparse
 
 import numpy as np
@@ -11,7 +12,7 @@ from test_boosting import SETTINGS, encoded, scores_of
 from test_boosting import table as boosted_rows  # noqa: F401
 from test_components import dense, table
 
-from varigrade.operators import boosting, components, networks
+from varigrade.operators import boosting, components, forests, models, networks
 from varigrade.plans import evaluation, queries_models
 from varigrade.plans.catalog import QUERIES
 from varigrade.session import materialize
@@ -29,7 +30,7 @@ def asked(monkeypatch):
             raise Asked(given, named)
 
         for made in ("_features", "_grouped", "_vectors"):
-            monkeypatch.setattr(queries_models, made, lambda *given: (None, None))
+            monkeypatch.setattr(queries_models, made, lambda *given: (MagicMock(), None))
         monkeypatch.setattr(evaluation, "boosting_table", lambda rows: rows)
         monkeypatch.setattr(module, name, stop)
         with pytest.raises(Asked) as found:
@@ -110,3 +111,61 @@ def test_sums_of_passes_are_added_up_by_slices(spark, monkeypatch):
     assert networks._summed(parts.map(lambda k: one * k)) == pytest.approx(one * 1225)
     assert networks._summed(parts.map(lambda k: one * k if k == 3 else np.zeros((0, 0)))).tolist() == (one * 3).tolist()
     assert networks._summed(parts.map(lambda k: np.zeros((0, 0)))).shape == (0, 0)
+
+
+@pytest.mark.parametrize("query", ["rf_classify", "rf_regress_grouped", "rf_supports", "rf_regress"])
+def test_forest_queries_fit_all_rows(spark, asked, monkeypatch, query):
+    monkeypatch.setattr(models, "columns_to_vector", MagicMock())
+    monkeypatch.setattr(evaluation, "grouped_rows", MagicMock())
+    given, named = asked(evaluation, "forest_split" if query == "rf_regress" else "forest_cv", query)
+    assert given[-1] in ("ppv", "ppv_bin") and "sample_rows" not in named and named.get("trees", 200) == (10 if query == "rf_supports" else 200)
+
+
+@pytest.fixture(scope="module")
+def forest_rows(spark):
+    """A label by two categories and a number that no coarse bins tell apart; some rows twice, some without label or fold."""
+    df = spark.range(3000).select(
+        F.col("id"), F.concat(F.lit("g"), F.col("id") % 5).alias("gene"), F.concat(F.lit("r"), F.col("id") % 3).alias("ref"),
+        (F.floor(F.col("id") / 2) * 0.001).alias("number"), (F.floor(F.col("id") / 7) % 5).cast("int").alias("fold"),
+        F.lit(1).alias("has_exact_mic"), F.lit(0).alias("has_variant_mic"), F.concat(F.lit("m"), F.col("id")).alias("mutation_key"))
+    kind = (F.col("id") % 5 % 2) * 2 + (F.col("number") > 0.7505).cast("int")
+    df = df.withColumns({"ppv_bin": F.when(F.col("id") % 50 != 3, kind).cast("int"), "fold": F.when(F.col("id") != 8, F.col("fold"))})
+    df = df.withColumn("ppv", F.col("ppv_bin") * 0.25)
+    vectors = models.columns_to_vector(df, (*models.BASELINE_DROP, "fold", "id"))
+    return materialize(vectors.repartition(3))
+
+
+@pytest.mark.parametrize("bins", [256, 2])
+@pytest.mark.parametrize("target,classes", [("ppv_bin", 4), ("ppv", 0)])
+@pytest.mark.parametrize("spread", [True, False])
+def test_forests_on_all_rows(forest_rows, monkeypatch, spread, target, classes, bins):
+    if spread:
+        for name, value in (("ENTRIES", 0), ("BINS", bins), ("SMALL", 256), ("BLOCK", 300), ("SUMS", 3000), ("ON_THE_WAY", 12_000)):
+            monkeypatch.setattr(forests, name, value)
+        monkeypatch.setattr(forests, "_broadcast_sums", None)
+    elif bins == 2:
+        pytest.skip("no bins are made")
+    log = evaluation.forest_cv(forest_rows, target, classes=classes, trees=3).toPandas()
+    assert len(log) == 2999 and log.mutation.is_unique and log.predicted.notna().all()
+    known = log[log.actual.notna()]
+    wrong = known[(known.actual - known.predicted).abs() > 0.01]
+    assert len(known) == 2999 - 60 and len(wrong) <= 60
+
+
+def test_a_forest_uses_rows_beyond_any_sample(spark):
+    """A single row in 4,000 has the feature that its held-out twin shows."""
+    df = spark.range(4001).select(
+        F.when(F.col("id") % 4000 == 0, 7.0).otherwise(0.0).alias("number"), F.when(F.col("id") % 4000 == 0, 1.0).otherwise(0.0).alias("ppv"),
+        F.col("id").cast("string").alias("mutation_key"), F.when(F.col("id") == 4000, 0).otherwise(1).alias("fold"),
+        F.lit(0).alias("has_exact_mic"), F.lit(0).alias("has_variant_mic"))
+    rows = models.columns_to_vector(df, (*models.BASELINE_DROP, "fold", "has_exact_mic", "has_variant_mic"))
+    log = evaluation.forest_cv(rows, "ppv", folds=1, trees=40)
+    assert log.count() == 1 and 0.35 < log.first().predicted < 0.9  # in 63 of 100 bags
+
+
+def test_split_search_in_slices_of_features(monkeypatch):
+    rng = np.random.default_rng(2)
+    x, y = rng.integers(0, 5, (60, 9)).astype(np.float32), rng.normal(size=60)
+    whole = forests.best_split(x, forests.totals(y, np.ones(60), 0))
+    monkeypatch.setattr(forests, "SEARCHED", 130)
+    assert forests.best_split(x, forests.totals(y, np.ones(60), 0)) == whole
